@@ -57,7 +57,8 @@ class Rule:
 
     def params(self) -> dict[str, object]:
         """Thresholds under their public names, absent ones left out."""
-        return {PARAM_NAMES[k]: getattr(self, k) for k in PARAM_NAMES if getattr(self, k) is not None}
+        out = {PARAM_NAMES[k]: getattr(self, k) for k in PARAM_NAMES if getattr(self, k) is not None}
+        return {**out, "slaDays": self.sla_days} if self.rule_id in SLA_IN_PARAMS else out
 
 
 # Public parameter names as they appear in params_json.
@@ -74,6 +75,9 @@ PARAM_NAMES = {
     "same_desk_allowed": "sameDeskAllowed",
 }
 
+# Fixed value: the rule whose SLA is also one of its parameters (so a reset restores it).
+SLA_IN_PARAMS = ("R2",)
+
 # The ten obligations with their default thresholds.
 DEFAULT_RULES = (
     Rule("R1", "Methodology pre-approval", "BEFORE", 0, "high", "Approval", "Committee (valuation)",

@@ -19,15 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import days, months, ts
-from ..functions.ordered import asof, running_sum
+from ..functions.ordered import asof, scan
 from ..model import Book, Clocked, Rule
 
 GAP = ("rule_id", "rule_name", "severity", "expected_control", "required_by_role", "position_id",
        "trigger_event_id", "trigger_at", "trigger_label", "due_by", "observed_event_id", "observed_at", "status")
 
-# Which review outcomes and which evidence count as addressing a divergence.
+# Review outcomes that count as addressing a divergence.
 ADDRESSING_OUTCOMES = ("adjusted", "challenged", "explained")
-ADDRESSING_EVIDENCE = ("Adjustment", "Challenge")
 
 
 def base_context(b: Book) -> tuple[Clocked, ...]:
@@ -163,23 +162,32 @@ def _escalations(b: Book) -> DataFrame:
 
 
 def rule_r4(b: Book, contexts) -> DataFrame | None:
-    overrides = _triggers(b, "PriceOverride")
-    # running count per instant: all overrides of one instant share the count behind them
-    instants = running_sum(
-        overrides.groupBy("position_id", F.col("trigger_at").alias("at")).agg(F.count(F.lit(1)).alias("k")),
-        ["position_id"], ["at"], "k", "upto").select("position_id", "at", "upto")
-    counted = overrides.join(instants.withColumnRenamed("at", "trigger_at"), ["position_id", "trigger_at"])
-    rows = with_rule(counted, "R4", contexts, sla="sla_days", need="n", window="window_days")
-    if rows is None:
+    overrides = with_rule(_triggers(b, "PriceOverride"), "R4", contexts, sla="sla_days", need="n", window="window_days")
+    if overrides is None:
         return None
-    rows = rows.where("trigger_at <= as_of").withColumn("opens", F.col("trigger_at") - days(F.col("window")))
-    rows = asof(rows, instants, ["position_id"], "opens", "at", {"earlier": "upto"}, forward=False, inclusive=True)
-    rows = rows.where(F.col("upto") - F.coalesce("earlier", F.lit(0)) >= F.col("need"))
-    rows = asof(rows, _escalations(b), ["position_id"], "opens", "esc_at", {"esc_at": "esc_at"},
-                forward=True, inclusive=True)
-    rows = rows.withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))).withColumn(
-        "status", F.when(F.col("esc_at") <= F.col("due_by"), "MET")
-        .when(F.col("due_by") > F.col("as_of"), "PENDING").otherwise("MISSED"))
+    # one ordered pass over three kinds of rows: overrides that count (0), the opening of each
+    # trigger's window (1), escalations (2).  An override counts up to its own instant, an opening
+    # up to and including the excluded lower bound and looks ahead to the first escalation.
+    ctx = ["variant_id", "as_of"]
+    counted = overrides.select("position_id", *ctx, F.col("trigger_at").alias("t"), F.lit(0).alias("side"),
+                               F.lit(1).alias("k"), "trigger_event_id")
+    openings = overrides.where("trigger_at <= as_of").select(
+        "*", (F.col("trigger_at") - days(F.col("window"))).alias("t"), F.lit(1).alias("side"), F.lit(0).alias("k"))
+    escalations = with_rule(_escalations(b), "R4", contexts).select(
+        "position_id", *ctx, F.col("esc_at").alias("t"), F.lit(2).alias("side"), F.lit(0).alias("k"), "esc_at")
+    rows = openings.unionByName(counted, allowMissingColumns=True).unionByName(escalations, allowMissingColumns=True)
+    rows = scan(rows, ["position_id", *ctx], ["t", "side"], sums={"upto": "k"}, first={"next_esc": "esc_at"})
+    trigger = ["trigger_at", "trigger_label", "sla", "need", "rule_id", "rule_name", "severity", "expected_control",
+               "required_by_role"]
+    rows = (rows.where("side < 2").groupBy("position_id", *ctx, "trigger_event_id")
+            .agg(*[F.max(c).alias(c) for c in trigger],
+                 F.max(F.when(F.col("side") == 0, F.col("upto"))).alias("now"),
+                 F.max(F.when(F.col("side") == 1, F.col("upto"))).alias("before"),
+                 F.max(F.when(F.col("side") == 1, F.col("next_esc"))).alias("next_esc"))
+            .where("now - before >= need")
+            .withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))).withColumn(
+                "status", F.when(F.col("next_esc") <= F.col("due_by"), "MET")
+                .when(F.col("due_by") > F.col("as_of"), "PENDING").otherwise("MISSED")))
     # one row per position: the first missed one, else the first one
     pick = F.min(F.struct((F.col("status") != "MISSED").alias("rank"), F.col("trigger_at").alias("at"),
                           F.col("trigger_event_id").alias("id"), F.col("due_by").alias("due"),
@@ -311,20 +319,23 @@ def rule_r10(b: Book, contexts) -> DataFrame | None:
     if rows is None:
         return None
     answers = first_responses(b)
-    changes = (b.event.where("label = 'MethodologyChange'").select("position_id", "event_id", _effective().alias("eff"))
-               .join(answers, F.col("event_id") == F.col("source_event_id"))
-               .where(F.col("approval.at") <= F.col("eff")).select("position_id", "eff"))
-    reviews = (b.event.where("label = 'IPVReview'").select("position_id", "event_id", "event_at", "outcome")
-               .join(answers, F.col("event_id") == F.col("source_event_id"), "left")
-               .where(F.col("outcome").isin(*ADDRESSING_OUTCOMES) | F.col("adjusted") | F.col("challenged"))
-               .select("position_id", F.col("event_at").alias("review_at")))
-    rows = (rows.where("trigger_at <= as_of").withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
-            .withColumn("opens", F.col("trigger_at") - days(F.col("sla"))))
-    rows = asof(rows, changes, ["position_id"], "opens", "eff", {"eff": "eff"}, forward=True, inclusive=True)
-    rows = asof(rows, reviews, ["position_id"], "trigger_at", "review_at", {"review_at": "review_at"},
-                forward=True, inclusive=True)
-    return _resolved(rows, F.coalesce(F.col("eff") <= F.col("due_by"), F.lit(False))
-                     | F.coalesce(F.col("review_at") <= F.col("due_by"), F.lit(False)))
+    acts = (b.event.where("label in ('MethodologyChange', 'IPVReview')")
+            .join(answers, F.col("event_id") == F.col("source_event_id"), "left"))
+    is_change = F.col("label") == "MethodologyChange"
+    approved = is_change & (F.col("approval.at") <= _effective())
+    addressed = ~is_change & (F.col("outcome").isin(*ADDRESSING_OUTCOMES) | F.col("adjusted") | F.col("challenged"))
+    acts = acts.where(approved | addressed).select(
+        "position_id", F.when(is_change, "change").otherwise("review").alias("act"),
+        F.when(is_change, _effective()).otherwise(F.col("event_at")).alias("act_at"))
+    # two searches per signal, told apart by the kind of act: changes from before it, reviews from it
+    rows = rows.where("trigger_at <= as_of").withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
+    probes = rows.select("*", F.inline(F.array(
+        F.struct(F.lit("change").alias("act"), (F.col("trigger_at") - days(F.col("sla"))).alias("opens")),
+        F.struct(F.lit("review").alias("act"), F.col("trigger_at").alias("opens")))))
+    found = asof(probes, acts, ["position_id", "act"], "opens", "act_at", {"act_at": "act_at"},
+                 forward=True, inclusive=True)
+    met = F.bool_or(F.coalesce(F.col("act_at") <= F.col("due_by"), F.lit(False)))
+    return _resolved(found.groupBy(*rows.columns).agg(met.alias("met")), F.col("met"))
 
 
 BRANCHES = {

@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from . import rules  # noqa: F401
+from . import policy, rules  # noqa: F401
 from .registry import CATALOG
 
 __all__ = ["CATALOG"]

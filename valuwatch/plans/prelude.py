@@ -110,7 +110,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN q % 11 = 5 THEN NULL ELSE p_size / 5.0 END AS mod_dur, trade_count,
                CASE WHEN q % 5 <> 0 THEN px * (1 - disc) END AS prc_bid,
                CASE WHEN q % 5 <> 0 THEN px * (1 + tax) END AS prc_ask,
-               supp % 3 + 1 AS db_type,
+               CASE WHEN supp % 50 = 0 THEN 3 ELSE supp % 2 + 1 END AS db_type,
                CASE WHEN p_partkey % 13 = 4 THEN NULL ELSE p_partkey % 32 + 1 END AS ff30num,
                CASE WHEN p_partkey % 17 = 5 THEN NULL ELSE p_size / 2.0 END AS bond_maturity,
                p_retailprice * 1000 AS bond_amt_outstanding, prc_first, prc_hi, prc_lo, prc_last

@@ -20,12 +20,15 @@ class Query:
 CATALOG: dict[str, Query] = {}
 
 
-def query(name: str, oracle: str | None = None, **views: str):
-    """Register the decorated `Book -> DataFrame` function under `name`."""
+def query(name: str, oracle: str | None = None, raw: bool = False, **views: str):
+    """Register the decorated `Book -> DataFrame` function under `name`.
+
+    `oracle` is a statement over the prelude's views (plus `views`), or complete SQL if `raw`.
+    """
     def add(fn: Callable[[Book], DataFrame]):
         if name in CATALOG:
             raise ValueError(f"{name} is registered twice")
-        CATALOG[name] = Query(fn, prelude.sql(oracle, **views) if oracle else None)
+        CATALOG[name] = Query(fn, (oracle if raw else prelude.sql(oracle, **views)) if oracle else None)
         return fn
 
     return add

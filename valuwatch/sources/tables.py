@@ -143,7 +143,7 @@ def _trade(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         "trade_count",
         F.when(quoted, F.col("x.pr") * (1 - F.col("x.l_discount"))).alias("prc_bid"),
         F.when(quoted, F.col("x.pr") * (1 + F.col("x.l_tax"))).alias("prc_ask"),
-        (F.col("x.l_suppkey") % 3 + 1).alias("db_type"),
+        F.when(F.col("x.l_suppkey") % 50 == 0, 3).otherwise(F.col("x.l_suppkey") % 2 + 1).alias("db_type"),
         _ff_code().alias("ff30num"),
         F.when(F.col("p_partkey") % 17 == 5, None).otherwise(F.col("p_size") / 2.0).alias("bond_maturity"),
         (F.col("p_retailprice") * 1000).alias("bond_amt_outstanding"),
