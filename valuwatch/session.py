@@ -46,11 +46,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return _RUN_DIRS[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared scratch folder and read it back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared scratch folder, partitioned by column `by`, and read it back.
 
     Cuts the lineage on durable storage, so a lost executor costs a re-read and not a re-run.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import days
 from ..model import Book
+from ..session import written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -105,9 +104,10 @@ def _event(orders: DataFrame, n_people) -> DataFrame:
 
 
 def _response(lineitem: DataFrame, event: DataFrame) -> DataFrame:
+    # one-letter codes are compared as numbers, which keeps this a hash aggregation
     grouped = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_shipdate").alias("shipped"), F.min("l_suppkey").alias("person"),
-        F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+        F.char(F.min(F.ascii("l_returnflag"))).alias("flag"), F.char(F.max(F.ascii("l_linestatus"))).alias("status"))
     kind = (F.when(F.col("flag") == "A", "Approval").when(F.col("flag") == "R", "Escalation")
             .when(F.col("status") == "O", "Challenge").otherwise("Adjustment"))
     source = event.select(F.col("event_id").alias("source_event_id"), F.col("label").alias("source_label"),
@@ -223,11 +223,26 @@ def bind(spark: SparkSession, sf_dir: str) -> Book:
         regime_breaks=REGIME_BREAKS, raw=t)
 
 
-@lru_cache(maxsize=8)
-def _bound(app: str, sf_dir: str) -> Book:
-    return bind(SparkSession.active(), sf_dir)
+def canonical(b: Book) -> Book:
+    """Write the canonical tables once, laid out for what reads them: events by label, answers by kind.
+
+    Every operator then prunes to the partitions it names instead of repeating the derivation.
+    """
+    event = written(b.event, "event", by="label")
+    position = written(b.position, "position")
+    b = b.with_(event=event, position=position)
+    return b.with_(
+        response=written(_response(b.raw["lineitem"], event), "response", by="kind"),
+        attribute=written(attributes_of_position(position, b.instrument), "attribute"),
+        trade=written(b.trade, "trade"), mark=written(b.mark, "mark"))
+
+
+_BOOKS: dict[tuple, Book] = {}
 
 
 def book_for(spark: SparkSession, sf_dir: str) -> Book:
-    """The book of a folder, kept for the session so its written gap table is made once."""
-    return _bound(f"{spark.sparkContext.applicationId}/{id(spark)}", sf_dir)
+    """The book of a folder, kept for the session so its tables are written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOOKS:
+        _BOOKS[key] = canonical(bind(spark, sf_dir))
+    return _BOOKS[key]
