@@ -79,16 +79,18 @@ def row_numbers(df: DataFrame, on: Sequence[str], order: Sequence[str], out: str
 
 
 def neighbour(
-    df: DataFrame, on: Sequence[str], order: Sequence[str], take: dict[str, str], step: int = -1
+    df: DataFrame, on: Sequence[str], order: Sequence[str], take: dict[str, str], step: int = -1,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Values of the previous (`step=-1`) or following (`step=1`) row of the key.
 
-    `take` maps output names to the columns of the neighbouring row.
+    `take` maps output names to the columns of the neighbouring row; `bucket` replaces the calendar
+    day where `order[0]` is not a time, and must not decrease along the order.
     """
     payload = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)],
                        *[F.col(c).alias(f"v{i}") for i, c in enumerate(take.values())])
     same = [*on, DAY]
-    rows = df.withColumn(DAY, day_of(F.col(order[0]))).withColumn("__row", payload)
+    rows = df.withColumn(DAY, day_of(F.col(order[0])) if bucket is None else bucket).withColumn("__row", payload)
     local = Window.partitionBy(*same).orderBy(*order)
     by_day = Window.partitionBy(*on).orderBy(DAY)
     if step < 0:

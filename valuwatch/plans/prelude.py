@@ -28,6 +28,18 @@ def obligation_values(rules=DEFAULT_RULES) -> str:
     return f"SELECT * FROM (VALUES {rows}) v({names})"
 
 
+def rd(expr: str, digits: int) -> str:
+    """Round half up on the decimal expansion, as the engine under test does."""
+    return f"round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits})::DOUBLE"
+
+
+def half_even(expr: str, digits: int) -> str:
+    """Round half to even on the decimal expansion."""
+    up, scaled = f"round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits})", f"CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)) * {10 ** digits}"
+    tie = f"abs({scaled} - trunc({scaled})) = 0.5 AND ({up} * {10 ** digits})::BIGINT % 2 <> 0"
+    return f"(CASE WHEN {tie} THEN trunc({scaled}) / {10 ** digits} ELSE {up} END)::DOUBLE"
+
+
 _SECTOR_CASE = "CASE " + " ".join(
     f"WHEN ff IN ({', '.join(map(str, codes))}) THEN '{s}'" for s, codes in SECTORS.items()) + " ELSE 'Other' END"
 
