@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from . import events, market, policy, rules  # noqa: F401
+from . import events, market, policy, rules, scenarios  # noqa: F401
 from .registry import CATALOG
 
 __all__ = ["CATALOG"]

@@ -84,12 +84,6 @@ PRICE_VIEWS = {
               GROUP BY ALL))""",
 }
 
-query("next_chain", """
-    SELECT position_id, event_id AS from_id, to_id, floor(epoch(to_at - event_at) / 86400)::BIGINT AS time_delta
-    FROM (SELECT *, lead(event_id) OVER w AS to_id, lead(event_at) OVER w AS to_at FROM chronology
-          WINDOW w AS (PARTITION BY position_id ORDER BY event_at, event_id)) WHERE to_id IS NOT NULL""")(
-    lambda b: E.next_chain(b.chronology))
-
 query("asof_event_prices", f"""
     SELECT event_id, label, position_id, {rd('mark', 3)} AS trader_mark, {rd('mdl', 3)} AS model_price,
            {rd("CASE WHEN label = 'IPVReview' THEN mark * (1 - divergence_bps / 10000) END", 3)} AS ipv_price FROM priced""",

@@ -290,20 +290,23 @@ VIEWS["gap"] = """
            (SELECT as_of FROM clock) AS computed_at
     FROM controls WHERE status IN ('MISSED', 'LATE') GROUP BY rule_id, position_id, trigger_event_id, severity"""
 
-_WORD = re.compile(r"[a-z_][a-z_0-9]*")
+_NAME = r"[a-z_][a-z_0-9]*"
+_SOURCE = re.compile(rf"(?:FROM|JOIN)\s+({_NAME}(?:\s+{_NAME})?(?:\s*,\s*{_NAME}(?:\s+{_NAME})?)*)")
 
 
 def needed(body: str, views: dict[str, str]) -> list[str]:
-    """Views a statement uses, dependencies first."""
+    """Views a statement reads from, dependencies first."""
     order: list[str] = []
 
-    def visit(text: str, trail: tuple[str, ...]) -> None:
-        for word in dict.fromkeys(_WORD.findall(text)):
-            if word in views and word not in order and word not in trail:
-                visit(views[word], trail + (word,))
-                order.append(word)
+    def visit(text: str) -> None:
+        for sources in _SOURCE.findall(text):
+            for name in (part.split()[0] for part in sources.split(",")):
+                if name in views and name not in order:
+                    visit(views[name])
+                    if name not in order:
+                        order.append(name)
 
-    visit(body, ())
+    visit(body)
     return order
 
 
