@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,9 +141,16 @@ class Book:
     rules: tuple[Rule, ...] = DEFAULT_RULES
     as_of: str = AS_OF
     raw: dict[str, DataFrame] = field(default_factory=dict)
+    memo: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def with_(self, **changes) -> "Book":
-        return replace(self, **changes)
+        return replace(self, **{"memo": {}, **changes})
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table several queries read: written on first use, then read back."""
+        if name not in self.memo:
+            self.memo[name] = written(make(), name)
+        return self.memo[name]
 
     @cached_property
     def chronology(self) -> DataFrame:
@@ -159,19 +166,16 @@ class Book:
             F.lit(None).cast("bigint").alias("divergence_bps"), F.lit(None).cast("string").alias("actor_role"))
         return own.unionByName(answers)
 
-    @cached_property
+    @property
     def controls(self) -> DataFrame:
-        """All rules at the book's clock, written once and read back by everything downstream."""
+        """All rules at the book's clock."""
         from .operators.rules import expected_controls
 
-        return written(expected_controls(self), "controls")
+        return self.once("controls", lambda: expected_controls(self))
 
-    @cached_property
+    @property
     def gaps(self) -> DataFrame:
         """Concrete gaps, the table every scenario reads."""
         from .operators.rules import gap_materialise
 
-        return written(gap_materialise(self), "gaps")
-
-    def clock(self) -> datetime:
-        return datetime.fromisoformat(self.as_of)
+        return self.once("gaps", lambda: gap_materialise(self))

@@ -11,7 +11,6 @@ from ..operators import events as E
 from ..operators import fastpath as FP
 from ..operators import knn as K
 from ..operators import rules as R
-from ..session import written
 from .events import PLAN
 from .registry import query
 
@@ -54,19 +53,8 @@ q("modularity", """
         JOIN person x ON x.person_id = s JOIN person y ON y.person_id = t GROUP BY 1)""")(
     lambda b: C.modularity(weighted(b), by_role(b)))
 
-_SHARED: dict[int, dict] = {}
-
-
-def shared(b, name, make):
-    """Tables several queries read, written once per book."""
-    kept = _SHARED.setdefault(id(b), {})
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
-
-
 def circles(b):
-    return shared(b, "circles", lambda: written(C.louvain(weighted(b)), "circles"))
+    return b.once("circles", lambda: C.louvain(weighted(b)))
 
 
 q("louvain")(circles)
@@ -120,7 +108,7 @@ def traj(b):
 
 
 def embedding(b):
-    return shared(b, "embedding", lambda: written(FP.fp_embedding(traj(b), P), "embedding"))
+    return b.once("embedding", lambda: FP.fp_embedding(traj(b), P))
 
 
 def atoms(b):
@@ -128,7 +116,7 @@ def atoms(b):
 
 
 def shortlist(b):
-    return shared(b, "shortlist", lambda: written(K.knn(FP.dense(embedding(b), atoms(b), P), TOP), "shortlist"))
+    return b.once("shortlist", lambda: K.knn(FP.dense(embedding(b), atoms(b), P), TOP))
 
 
 def spans(b):
@@ -270,12 +258,11 @@ def signals(b):
 
 
 def correlated(b):
-    return shared(b, "pearson", lambda: written(K.knn(D.return_vectors(marks(b)), TOP, "pearson"), "pearson"))
+    return b.once("pearson", lambda: K.knn(D.return_vectors(marks(b)), TOP, "pearson"))
 
 
 def clusters(b):
-    return shared(b, "clusters", lambda: written(
-        D.behaviour_clusters(C.louvain(D.correlation_edges(correlated(b)))), "clusters"))
+    return b.once("clusters", lambda: D.behaviour_clusters(C.louvain(D.correlation_edges(correlated(b)))))
 
 
 mq("mark_returns", "SELECT position_id, day, round(ret, 6) AS ret FROM returned")(
