@@ -6,10 +6,9 @@ groups, which are not, are aggregated and joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ts
 from ..model import Book
 
 WINDOW, THRESHOLD, PERIODS = 8, 0.45, 2
@@ -43,30 +42,20 @@ def peer_mean(returns: DataFrame, groups: DataFrame) -> DataFrame:
                                                   F.when(peers >= MIN_PEERS, mean).alias("peer_ret"))
 
 
-def pearson(xs: Column, ys: Column) -> Column:
-    """Correlation of two equally long arrays; without variance on either side it is 0."""
-    n = F.size(xs)
-    def mean(a):
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    dx = F.transform(xs, lambda x: x - mean(xs))
-    dy = F.transform(ys, lambda y: y - mean(ys))
-    def dot(a, c):
-        return F.aggregate(F.zip_with(a, c, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    sxx, syy = dot(dx, dx), dot(dy, dy)
-    return F.when((sxx <= 0) | (syy <= 0), 0.0).otherwise(dot(dx, dy) / F.sqrt(sxx * syy))
-
-
 def rolling_pearson(paired: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Correlation with the peers over the last `window` own dates.
+    """Correlation with the peers over the last `window` own dates; without variance it is 0.
 
     Only full windows appear; one is evaluable if every date in it has peers.
     """
     w = Window.partitionBy("position_id").orderBy("day").rowsBetween(-(window - 1), 0)
-    rows = paired.select("position_id", "grp", "day", F.collect_list(F.struct("ret", "peer_ret")).over(w).alias("win")).where(
-        F.size("win") == window)
-    whole = F.forall("win", lambda x: x.peer_ret.isNotNull())
-    corr = pearson(F.transform("win", lambda x: x.ret), F.transform("win", lambda x: x.peer_ret))
-    return rows.select("position_id", "grp", "day", whole.alias("evaluable"), F.when(whole, F.round(corr, 9)).alias("corr"))
+    rows = paired.select("position_id", "grp", "day", F.count(F.lit(1)).over(w).alias("n"),
+                         F.count("peer_ret").over(w).alias("with_peers"), F.covar_pop("ret", "peer_ret").over(w).alias("sxy"),
+                         F.var_pop("ret").over(w).alias("sxx"), F.var_pop("peer_ret").over(w).alias("syy"))
+    whole = F.col("with_peers") == window
+    corr = F.when((F.col("sxx") <= 0) | (F.col("syy") <= 0), 0.0).otherwise(
+        F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))))
+    return rows.where(F.col("n") == window).select(
+        "position_id", "grp", "day", whole.alias("evaluable"), F.when(whole, F.round(corr, 9)).alias("corr"))
 
 
 def decorr_signals(rolling: DataFrame, threshold: float = THRESHOLD, periods: int = PERIODS) -> DataFrame:

@@ -44,16 +44,26 @@ def tag_lines(lines: list[str], terms: list[tuple[str, re.Pattern]]) -> list[tup
     return out
 
 
+def fold(text: str) -> str:
+    """Case folding at least as coarse as the case-insensitive match it stands in for."""
+    return text.replace("\u0130", "i").replace("\u0131", "i").casefold()
+
+
 def glossary_tag(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """First mention of every glossary term per text; matches ignore case and do not touch word
     characters or `&`.  The glossary (`term`) is a short list and travels with the tasks."""
     words = sorted({r.term for r in bounded_rows(terms, MAX_TERMS, "glossary terms")})
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(w, re.compile(rf"(?<![\w&]){re.escape(w)}(?![\w&])", re.IGNORECASE)) for w in words]
+        compiled = [(fold(w), w, re.compile(rf"(?<![\w&]){re.escape(w)}(?![\w&])", re.IGNORECASE)) for w in words]
         for pdf in batches:
-            rows = [(i, *hit) for i, text in zip(pdf["text_id"], pdf["text"]) if text
-                    for hit in tag_lines(text.split("\n"), compiled)]
+            rows = []
+            for i, text in zip(pdf["text_id"], pdf["text"]):
+                plain = fold(text or "")
+                # most terms occur nowhere in a text: a substring test spares their expressions
+                live = [(w, rx) for folded, w, rx in compiled if folded in plain]
+                if live:
+                    rows += [(i, *hit) for hit in tag_lines(text.split("\n"), live)]
             yield pd.DataFrame(rows, columns=["text_id", "para", "term", "start", "length"])
 
     kind = texts.schema["text_id"].dataType.simpleString()

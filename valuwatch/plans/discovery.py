@@ -254,7 +254,7 @@ def paired(b):
 
 
 def signals(b):
-    return D.decorr_signals(D.rolling_pearson(paired(b)), THRESHOLD)
+    return b.once("signals", lambda: D.decorr_signals(D.rolling_pearson(paired(b)), THRESHOLD))
 
 
 def correlated(b):

@@ -16,6 +16,11 @@ from .registry import query
 
 PLAN = (("R3", "PriceOverride"), ("R4", "PriceOverride"), ("R5", "IPVReview"), ("R6", "PnLSignal"))
 
+def event_prices(b):
+    """Prices at event time, which the timeline reads too."""
+    return b.once("event_prices", lambda: E.annotate_event_prices(b, prices(b)))
+
+
 GRAPH_VIEWS = {
     "edge": """
         SELECT position_id AS src, CASE label WHEN 'MethodologyChange' THEN 'CHANGED_TO' WHEN 'PriceOverride' THEN 'OVERRIDDEN_BY'
@@ -59,7 +64,7 @@ def prices(b):
     held = b.position.select("instrument_id").distinct()
     observed = M.daily_ohlc(b.trade.join(held, "instrument_id", "left_semi")).select(
         "instrument_id", F.lit("observed").alias("side"), "day", F.col("pr").alias("price"))
-    model = proxied(b.with_(trade=b.trade.join(held, "instrument_id", "left_semi"))).select(
+    model = proxied(b).join(held, "instrument_id", "left_semi").select(
         "instrument_id", F.lit("model").alias("side"), "day", F.col("proxy").alias("price"))
     return observed.unionByName(model)
 
@@ -87,7 +92,7 @@ PRICE_VIEWS = {
 query("asof_event_prices", f"""
     SELECT event_id, label, position_id, {rd('mark', 3)} AS trader_mark, {rd('mdl', 3)} AS model_price,
            {rd("CASE WHEN label = 'IPVReview' THEN mark * (1 - divergence_bps / 10000) END", 3)} AS ipv_price FROM priced""",
-      **PRICE_VIEWS)(lambda b: E.annotate_event_prices(b, prices(b)))
+      **PRICE_VIEWS)(event_prices)
 
 query("shift_clock", """
     SELECT event_id, source_at::DATE AS source_day, (source_at + INTERVAL 10 YEAR)::DATE AS shifted FROM event""")(

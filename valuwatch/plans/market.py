@@ -114,8 +114,12 @@ def durations(b):
 
 
 def proxied(b):
-    prices, curve = M.month_end(b.trade), M.curve_month_end(b.curve)
-    return M.proxy_price(prices, M.proxy_anchor(prices, curve), curve)
+    """Model prices and their comparison with the observed ones, the second half of the price table."""
+    def make():
+        prices, curve = M.month_end(b.trade), M.curve_month_end(b.curve)
+        return M.proxy_price(prices, M.proxy_anchor(prices, curve), curve)
+
+    return b.once("proxied", make)
 
 
 def span(b):

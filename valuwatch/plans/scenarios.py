@@ -8,7 +8,7 @@ from ..operators import events as E
 from ..operators import market as M
 from ..operators import scenarios as S
 from ..operators import timeline as T
-from .events import GRAPH_VIEWS, PRICE_VIEWS, prices, proxied
+from .events import GRAPH_VIEWS, PRICE_VIEWS, event_prices, prices, proxied
 from .prelude import rd
 from .registry import query
 
@@ -173,7 +173,7 @@ def tq(name, oracle):
 
 
 tq("timeline_bundle", """SELECT *, row_number() OVER (PARTITION BY position_id, section ORDER BY at_time, ref) AS seq FROM bundle""")(
-    lambda b: T.timeline_bundle(b, prices(b), E.annotate_event_prices(b, prices(b)), b.controls))
+    lambda b: T.timeline_bundle(b, prices(b), event_prices(b), b.controls))
 tq("ohlc_candles", """SELECT instrument_id, day, coalesce(open, pr) AS open, coalesce(high, pr) AS high, coalesce(low, pr) AS low,
                       coalesce(close, pr) AS close FROM daily""")(lambda b: T.ohlc_candles(M.daily_ohlc(b.trade)))
 tq("calendar_fill", """
