@@ -55,6 +55,6 @@ def book(spark, events=(), responses=(), as_of="2023-01-01", positions=None, att
         event=table(spark, EVENT, list(events)), response=table(spark, RESPONSE, list(responses)),
         attribute=table(spark, "entity_id string, ra_type string, ra_value string",
                         [{"entity_id": e, "ra_type": t, "ra_value": v} for e, t, v in attributes]),
-        trade=None, curve=None, incident=table(spark, "incident_id string, position_id string", []),
-        mark=table(spark, "position_id string, day date, clean double", list(marks)),
+        trades=None, curve=None, incident=table(spark, "incident_id string, position_id string", []),
+        marks=table(spark, "position_id string, day date, clean double", list(marks)),
         regime_breaks=tuple(regime), rules=rules, as_of=as_of)

@@ -133,10 +133,10 @@ class Book:
     event: DataFrame       # trigger-side events
     response: DataFrame    # approvals, escalations, challenges, adjustment evidence
     attribute: DataFrame   # entity_id, ra_type, ra_value
-    trade: DataFrame       # daily trade panel
+    trades: DataFrame      # daily trade panel, read through `trade`
     curve: DataFrame       # day, tenor_years, yield (null where blank)
     incident: DataFrame    # incident_id, position_id
-    mark: DataFrame        # position_id, day, clean
+    marks: DataFrame       # position_id, day, clean, read through `mark`
     regime_breaks: tuple[tuple[str, str], ...] = ()  # (id, timestamp text)
     rules: tuple[Rule, ...] = DEFAULT_RULES
     as_of: str = AS_OF
@@ -144,7 +144,8 @@ class Book:
     memo: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def with_(self, **changes) -> "Book":
-        return replace(self, **{"memo": {}, **changes})
+        kept = {k: v for k, v in self.memo.items() if k in ("trades", "marks") and k not in changes}
+        return replace(self, **{"memo": kept, **changes})
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A derived table several queries read: written on first use, then read back."""
@@ -152,6 +153,14 @@ class Book:
             self.memo[name] = written(make(), name)
         return self.memo[name]
 
+    @property
+    def trade(self) -> DataFrame:
+        return self.once("trades", lambda: self.trades)
+
+    @property
+    def mark(self) -> DataFrame:
+        return self.once("marks", lambda: self.marks)
+
     @cached_property
     def chronology(self) -> DataFrame:
         """Every dated event of a position: triggers, approvals and escalations."""

@@ -219,12 +219,13 @@ def bind(spark: SparkSession, sf_dir: str) -> Book:
     return Book(
         spark=spark, desk=desk, person=person, instrument=instrument, position=position, event=event,
         response=_response(t["lineitem"], event), attribute=attributes_of_position(position, instrument),
-        trade=_trade(t["lineitem"], t["part"]), curve=_curve(t["orders"]), incident=incident, mark=mark,
+        trades=_trade(t["lineitem"], t["part"]), curve=_curve(t["orders"]), incident=incident, marks=mark,
         regime_breaks=REGIME_BREAKS, raw=t)
 
 
 def canonical(b: Book) -> Book:
     """Write the canonical tables once, laid out for what reads them: events by label, answers by kind.
+    Trades and marks follow when something first reads them.
 
     Every operator then prunes to the partitions it names instead of repeating the derivation.
     """
@@ -233,8 +234,7 @@ def canonical(b: Book) -> Book:
     b = b.with_(event=event, position=position)
     return b.with_(
         response=written(_response(b.raw["lineitem"], event), "response", by="kind"),
-        attribute=written(attributes_of_position(position, b.instrument), "attribute"),
-        trade=written(b.trade, "trade"), mark=written(b.mark, "mark"))
+        attribute=written(attributes_of_position(position, b.instrument), "attribute"))
 
 
 _BOOKS: dict[tuple, Book] = {}
