@@ -30,20 +30,22 @@ def local_session(app: str = "valuwatch", cpus: str | int = "*", partitions: int
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """One folder per application below `spark.checkpoint.dir`.
+    """One folder per application below `spark.checkpoint.dir`, which a cluster points at shared storage.
 
-    A cluster names a shared folder there.  Only where the setting is absent (tests, bench)
-    a temporary local folder is used instead.
+    Where the setting is absent the folder given to `setCheckpointDir` is used.  A single-JVM session
+    (tests, bench) may fall back to a temporary folder; any other master without a shared folder is an
+    error, since executors elsewhere could not read what one of them wrote.
     """
-    app = spark.sparkContext.applicationId
-    if app not in _RUN_DIRS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-            "spark.checkpoint.dir", None
-        )
+    sc = spark.sparkContext
+    if sc.applicationId not in _RUN_DIRS:
+        base = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+                or sc.getCheckpointDir())
         if not base:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="valuwatch-")
-        _RUN_DIRS[app] = f"{base.rstrip('/')}/valuwatch-{app}-{uuid.uuid4().hex[:8]}"
-    return _RUN_DIRS[app]
+        _RUN_DIRS[sc.applicationId] = f"{base.rstrip('/')}/valuwatch-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+    return _RUN_DIRS[sc.applicationId]
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -54,4 +56,16 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove the folders of `written` tables that nothing reads any more, such as superseded rounds."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path and path.startswith(scratch_dir(df.sparkSession) + "/"):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
