@@ -170,8 +170,9 @@ class Book:
         answers = self.response.where(F.col("kind").isin("Approval", "Escalation")).select(
             F.col("response_id").alias("event_id"), F.col("kind").alias("label"), "position_id", "event_at",
             F.col("event_at").alias("source_at"),
-            F.concat_ws(" ", "kind", F.lit("of"), "source_event_id").alias("description"), "person_id",
-            F.lit(None).cast("bigint").alias("deviation_bps"), F.lit(None).cast("string").alias("side"),
+            F.concat_ws(" ", "kind", F.lit("of"), "source_event_id").alias("description"),
+            # an escalation goes to a committee, not to a person
+            F.when(F.col("kind") == "Approval", F.col("person_id")).alias("person_id"), F.lit(None).cast("bigint").alias("deviation_bps"), F.lit(None).cast("string").alias("side"),
             F.lit(None).cast("bigint").alias("divergence_bps"), F.lit(None).cast("string").alias("actor_role"))
         return own.unionByName(answers)
 

@@ -323,7 +323,8 @@ def rule_r10(b: Book, contexts) -> DataFrame | None:
             .join(answers, F.col("event_id") == F.col("source_event_id"), "left"))
     is_change = F.col("label") == "MethodologyChange"
     approved = is_change & (F.col("approval.at") <= _effective())
-    addressed = ~is_change & (F.col("outcome").isin(*ADDRESSING_OUTCOMES) | F.col("adjusted") | F.col("challenged"))
+    # a challenge of the review by someone is not evidence that the review addressed anything
+    addressed = ~is_change & (F.col("outcome").isin(*ADDRESSING_OUTCOMES) | F.col("adjusted"))
     acts = acts.where(approved | addressed).select(
         "position_id", F.when(is_change, "change").otherwise("review").alias("act"),
         F.when(is_change, _effective()).otherwise(F.col("event_at")).alias("act_at"))

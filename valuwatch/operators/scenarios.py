@@ -81,11 +81,8 @@ def conjunction_members(b: Book, gaps: DataFrame) -> DataFrame:
     approvals = core.join(b.response.where("kind = 'Approval'").select(
         c("source_event_id").alias("id"), "response_id", "person_id"), "id").select(
         "position_id", F.explode(F.array("response_id", "person_id")).alias("id"))
-    # approvals that are themselves in the core set bring their approver too
-    approvers = core.join(b.response.where("kind = 'Approval'").select(
-        c("response_id").alias("id"), "person_id"), "id").select("position_id", c("person_id").alias("id"))
     own = b.position.select("position_id", c("position_id").alias("id"))
-    return reduce(DataFrame.unionByName, [own, core, gap_ids, performers, approvals, approvers]).distinct()
+    return reduce(DataFrame.unionByName, [own, core, gap_ids, performers, approvals]).distinct()
 
 
 def conjunction_paint(b: Book, gaps: DataFrame) -> DataFrame:

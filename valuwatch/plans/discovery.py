@@ -284,7 +284,7 @@ mq("signals_verdict", """
                       OR EXISTS (SELECT 1 FROM event v WHERE v.position_id = s.position_id AND v.label = 'IPVReview'
                          AND v.event_at BETWEEN s.day + INTERVAL 17 HOUR AND s.day + INTERVAL 17 HOUR + INTERVAL 30 DAY
                          AND (v.outcome IN ('adjusted', 'challenged', 'explained') OR EXISTS (
-                              SELECT 1 FROM response r WHERE r.source_event_id = v.event_id AND r.kind IN ('Adjustment', 'Challenge')))) THEN 'MET'
+                              SELECT 1 FROM response r WHERE r.source_event_id = v.event_id AND r.kind = 'Adjustment'))) THEN 'MET'
                     WHEN s.day + INTERVAL 17 HOUR + INTERVAL 30 DAY > as_of THEN 'PENDING' ELSE 'MISSED' END AS status
     FROM signal s, clock""")(
     lambda b: D.signals_verdict(signals(b), R.one_rule(D.with_signals(b, signals(b)), R.rule_r10)))

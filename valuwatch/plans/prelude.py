@@ -146,7 +146,7 @@ VIEWS: dict[str, str] = {
                label || ' ' || event_id || ' on ' || position_id || ' by ' || performer_id AS description,
                performer_id AS person_id, deviation_bps, side, divergence_bps, actor_role FROM event
         UNION ALL
-        SELECT response_id, kind, position_id, event_at, event_at, kind || ' of ' || source_event_id, person_id,
+        SELECT response_id, kind, position_id, event_at, event_at, kind || ' of ' || source_event_id, CASE WHEN kind = 'Approval' THEN person_id END,
                NULL, NULL, NULL, NULL FROM response WHERE kind IN ('Approval', 'Escalation')""",
     "approvals": "SELECT * FROM response WHERE kind = 'Approval'",
     "r1": """
@@ -274,7 +274,7 @@ VIEWS: dict[str, str] = {
                          AND v.event_at BETWEEN e.event_at AND e.event_at + to_days(o.sla_days)
                          AND (v.outcome IN ('adjusted', 'challenged', 'explained') OR EXISTS (
                               SELECT 1 FROM response s WHERE s.source_event_id = v.event_id
-                              AND s.kind IN ('Adjustment', 'Challenge')))) THEN 'MET'
+                              AND s.kind = 'Adjustment'))) THEN 'MET'
                     WHEN e.event_at + to_days(o.sla_days) > as_of THEN 'PENDING' ELSE 'MISSED' END AS status
         FROM event e, obligation o, clock WHERE e.label = 'DecorrelationSignal' AND o.rule_id = 'R10' AND e.event_at <= as_of""",
 }

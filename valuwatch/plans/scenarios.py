@@ -36,8 +36,7 @@ VIEWS = {
         SELECT position_id, position_id AS id FROM position UNION SELECT * FROM core UNION SELECT position_id, gap_id FROM gap
         UNION SELECT c.position_id, performer_id FROM core c JOIN event e ON e.event_id = c.id
         UNION SELECT c.position_id, response_id FROM core c JOIN approvals a ON a.source_event_id = c.id
-        UNION SELECT c.position_id, person_id FROM core c JOIN approvals a ON a.source_event_id = c.id
-        UNION SELECT c.position_id, person_id FROM core c JOIN approvals a ON a.response_id = c.id""",
+        UNION SELECT c.position_id, person_id FROM core c JOIN approvals a ON a.source_event_id = c.id""",
     "fact": """
         SELECT entity_id AS position_id, 'RA-' || ra_type || '-' || ra_value AS target_id, ra_type || '=' || ra_value AS name,
                ra_type, FALSE AS is_gap FROM attribute
