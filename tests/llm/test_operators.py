@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from valuwatch.llm import (bpe, html_text, jaccard_join, line_dedup, mixing, pii, quality_model, quality_rules,  # noqa: E402
-                           sharding, vector_dedup)
+                           queries, sharding, vector_dedup)
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside or add.
@@ -218,7 +219,7 @@ def test_shards(spark):
     assert not any(b.startswith(a) for a, b in zip(leaves, leaves[1:], strict=False))      # prefix-free
     size = defaultdict(int)
     for i, t, *_ in rows:                                        # no split that was not needed
-        bits = f"{int(__import__('hashlib').md5(str('null' if i is None else i).encode()).hexdigest()[:15], 16):060b}"
+        bits = f"{int(hashlib.md5(str("null" if i is None else i).encode()).hexdigest()[:15], 16):060b}"
         for d in range(61):
             size[bits[:d]] += len(t or "")
     assert all(size[x[:-1]] > 2000 for x in leaves if x)
@@ -255,6 +256,19 @@ def test_personal_data(spark):
     assert pii.find(docs).count() == docs.count() and pii.find(empty(spark)).count() == 0
 
 
+def test_personal_data_query(spark):
+    sf = "/root/testdata/sf0.001"
+    text = {x["doc_id"]: x["text"] or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op7_personal_data(spark, sf).collect()
+    assert len(rows) == len(text)
+    for x in rows:
+        spans = base_spans(text[x["doc_id"]])
+        counts = Counter(k for k, _, _ in spans)
+        assert [x[f"n_{k}"] for k in pii.KINDS] == [counts[k] for k in pii.KINDS]
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert x["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(x["spans"].split(","))
+
+
 # 8 HTML
 
 def test_html(spark):
