@@ -364,3 +364,20 @@ def test_tree_misses_no_pair():
     want = {(a, b) for a in range(len(p)) for b in range(a + 1, len(p)) if 7 * np.minimum(p[a], p[b]).sum() >= 3 * (n[a] + n[b])}
     assert want <= got and all(7 * min(np.minimum(p[a], p[b]).sum(), n[a], n[b]) >= 3 * (n[a] + n[b]) for a, b in got)
     assert not list(x for i, j in jaccard_join.RTree(p, n, part * 0).pairs() for x in i)
+
+
+def test_pairs_meet_in_one_group_only():
+    import pandas as pd
+
+    r = np.random.default_rng(14)
+    p = (r.poisson(2, (1, 32)) + r.integers(0, 2, (40, 32))).astype("u1")
+    groups = {g: sorted(r.choice(40, r.integers(2, 30), replace=False).tolist()) for g in range(60)}
+    lows = {c: ([g for g in groups if c in groups[g]] + [2**63 - 1] * 8)[:jaccard_join.LOWEST] for c in range(40)}
+    rows = [(g, c, c, int(p[c].sum()), b"\1" + p[c].tobytes(), np.array(lows[c])) for g, some in groups.items() for c in some]
+    batch = pd.DataFrame(rows, columns=["gid", "cid", "part", "n", "point", "lows"])
+    got = [tuple(x) for out in jaccard_join._across(iter([batch[:300], batch[300:]])) for x in out.to_numpy().tolist()]
+    want = {(a, b) for some in groups.values() for a in some for b in some if a < b
+            and 7 * np.minimum(p[a], p[b]).sum(dtype=int) >= 3 * int(p[a].sum(dtype=int) + p[b].sum(dtype=int))}
+    assert set(got) == want
+    every = sum(len({(a, b) for a in some for b in some if a < b} & want) for some in groups.values())
+    assert len(got) < every / 2
