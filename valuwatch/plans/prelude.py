@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from ..model import AS_OF, DEFAULT_RULES
-from ..sources.tables import SECTORS
 
 
 def _lit(v) -> str:
@@ -40,8 +39,17 @@ def half_even(expr: str, digits: int) -> str:
     return f"(CASE WHEN {tie} THEN trunc({scaled}) / {10 ** digits} ELSE {up} END)::DOUBLE"
 
 
-_SECTOR_CASE = "CASE " + " ".join(
-    f"WHEN ff IN ({', '.join(map(str, codes))}) THEN '{s}'" for s, codes in SECTORS.items()) + " ELSE 'Other' END"
+# Sector of each industry code, apart from those of the engine.
+_SECTOR_CASE = """CASE ff
+    WHEN 1 THEN 'Consumer' WHEN 2 THEN 'Consumer' WHEN 3 THEN 'Consumer' WHEN 4 THEN 'Consumer'
+    WHEN 5 THEN 'Consumer' WHEN 6 THEN 'Consumer' WHEN 7 THEN 'Consumer' WHEN 8 THEN 'Healthcare'
+    WHEN 9 THEN 'Materials' WHEN 10 THEN 'Materials' WHEN 11 THEN 'Industrials' WHEN 12 THEN 'Materials'
+    WHEN 13 THEN 'Industrials' WHEN 14 THEN 'Industrials' WHEN 15 THEN 'Industrials' WHEN 16 THEN 'Industrials'
+    WHEN 17 THEN 'Materials' WHEN 18 THEN 'Energy' WHEN 19 THEN 'Energy' WHEN 20 THEN 'Utilities'
+    WHEN 21 THEN 'Telecom' WHEN 22 THEN 'Services' WHEN 23 THEN 'Technology' WHEN 24 THEN 'Materials'
+    WHEN 25 THEN 'Transport' WHEN 26 THEN 'Services' WHEN 27 THEN 'Consumer' WHEN 28 THEN 'Consumer'
+    WHEN 29 THEN 'Financials' WHEN 30 THEN 'Other'
+    ELSE 'Other' END"""
 
 VIEWS: dict[str, str] = {
     "obligation": obligation_values(),

@@ -18,10 +18,13 @@ REGIME_BREAKS = (("REGIME-2000", "2000-01-01 00:00:00"),)
 ROLES = ("Trader", "Trader", "Desk head", "IPV analyst", "Risk officer", "Product controller", "MAP member")
 TENORS = (1 / 12, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 7.0, 10.0, 20.0, 30.0)
 FAMILIES = {"AUTOMOBILE": "matrix", "BUILDING": "proxy", "FURNITURE": "broker", "HOUSEHOLD": "model"}
+# Sector of each industry code.
 SECTORS = {
-    "Consumer": (1, 2, 3, 4, 5, 6, 7, 27, 28), "Healthcare": (8,), "Materials": (9, 10, 12, 17, 24),
-    "Industrials": (11, 13, 14, 15, 16), "Energy": (18, 19), "Utilities": (20,), "Telecom": (21,),
-    "Services": (22, 26), "Technology": (23,), "Transport": (25,), "Financials": (29,), "Other": (30,),
+    1: "Consumer", 2: "Consumer", 3: "Consumer", 4: "Consumer", 5: "Consumer", 6: "Consumer", 7: "Consumer",
+    8: "Healthcare", 9: "Materials", 10: "Materials", 11: "Industrials", 12: "Materials", 13: "Industrials",
+    14: "Industrials", 15: "Industrials", 16: "Industrials", 17: "Materials", 18: "Energy", 19: "Energy",
+    20: "Utilities", 21: "Telecom", 22: "Services", 23: "Technology", 24: "Materials", 25: "Transport",
+    26: "Services", 27: "Consumer", 28: "Consumer", 29: "Financials", 30: "Other",
 }
 
 
@@ -31,7 +34,7 @@ def _pick(values: tuple[str, ...], index):
 
 def sector_of(code):
     """Industry code to sector; a null code counts as 30, an unknown one as Other."""
-    pairs = [F.lit(x) for sector, codes in SECTORS.items() for c in codes for x in (c, sector)]
+    pairs = [F.lit(x) for code_and_sector in SECTORS.items() for x in code_and_sector]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(code.cast("int"), F.lit(30))),
                       F.lit("Other"))
 
