@@ -12,7 +12,7 @@ from .registry import query
 
 ALIVE_FROM, ALIVE_TO, MAX_PCT = "1996-06-30", "2000-07-01", 0.0106
 TRADING_DAYS = 2499
-N_UNIVERSE, N_CHART, MIN_MONTHS = 500, 120, 14
+N_UNIVERSE, N_CHART, MIN_MONTHS = 3000, 120, 14
 ANCHOR = "1995-01-06"
 
 _VIEWS = {
