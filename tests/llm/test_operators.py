@@ -313,6 +313,40 @@ def test_near_vectors(spark):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_large_dense_group(spark):
+    r = np.random.default_rng(15)
+    hot = r.normal(size=(1, 64)) / 8 + 0.27 * r.normal(size=(6000, 64)) / 8          # pairwise cosine about 0.93
+    x = np.vstack([hot, r.normal(size=(6000, 64))])
+    x = x[r.permutation(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(8)
+    out = {y["vec_id"]: y for y in vector_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    assert near.sum() > 30_000_000                               # nearly all pairs of the group
+    assert [out[k]["n_links"] for k in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert len({out[k]["component_id"] for k in np.flatnonzero(near.sum(1) > 1)}) == 1
+
+
+def test_bounds_exclude_blocks_but_no_pair():
+    import pandas as pd
+
+    r = np.random.default_rng(16)
+    centre = r.normal(size=(40, 8))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = centre[r.integers(0, 40, 30_000)] + 0.1 * r.normal(size=(30_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ centre.T
+    home = s.argmax(1)
+    angle = pd.Series(np.arccos(np.clip(s.max(1), -1, 1))).groupby(home)
+    table = pd.DataFrame({"n": angle.size(), "low": angle.min(), "high": angle.max()}).rename_axis("cluster").reset_index()
+    blocks = vector_dedup.Blocks(table, centre, 0.9)
+    met = blocks.packs_met(home, s)
+    pack = np.array([blocks.pack[k] for k in home])
+    assert met.mean() < 0.8
+    for k in range(0, 30_000, 100):
+        assert met[k][pack[x @ x[k] >= 0.9]].all()
+
+
 # 10 similarity join
 
 def shingle_set(t):

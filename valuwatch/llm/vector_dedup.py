@@ -1,15 +1,15 @@
-"""Near-duplicate vectors by range search on a robust-pruned flat graph.
-
-Vectors go to their nearest clusters, several each, so clusters overlap; a cluster is dealt to as many
-blocks as its size asks for.  Every block builds a robust-pruned graph of its vectors; a vector's
-adjacency lists from all its blocks are united.  Every vector is then searched for in every block of its
-clusters: greedily from the block's nearest medoid, then, from what is within range, along all edges
-until the range is exhausted.  A search in a block that holds the vector must find the vector itself;
-one that does not is repeated with a wider beam, which audits every search.  What is found is verified
-in double precision.
-
-A pair is counted in the lowest cluster both vectors belong to, so counts add up without gathering
-pairs, and each block hands on a spanning forest of its links, which is all that components need.
+"""Near-duplicate vectors by exact range search over blocks that the angle cannot exclude.
+
+Every vector has one home, the cluster of its nearest centre.  Small clusters are packed into a block,
+large ones are dealt to as many blocks as their size asks for.  A vector meets a block unless the angle
+excludes it: a vector of cluster c is nearer to c than to any other centre, so it lies beyond the plane
+between the centres, and its angle to c lies between the smallest and the largest of the cluster.  Where
+neither bound exceeds the range, the vector is sent there, however many blocks that are; so no pair in
+range is lost, and a dense group of any size is joined block by block.
+
+Each pair of blocks meets in one of the two.  Similarities are matrix products in single precision; what
+is within their error of the limit is decided in double.  Counts add up without gathering pairs, and each
+group hands on a spanning forest of its links, which is all that components need.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from .common import let
 from .components import connected_components
 
 COSINE = 0.9
-#: Clusters a vector belongs to, vectors aimed at per cluster, and vectors of a block at most about.
-OVERLAP, PER_CLUSTER, BLOCK = 4, 1024, 2048
-#: Documented bound of the sample that clusters are fitted on, and of clusters.
+#: Vectors aimed at per cluster; fewest and most vectors aimed at per block (the most at WIDTH components), blocks of a small table.
+PER_CLUSTER, FEWEST, MOST, WIDTH, PARTS = 1024, 1024, 8192, 64, 16
+#: Blocks whose vectors are searched for in one task, and of how many vectors at a time.
+SPAN, AT_ONCE = 8, 1024
+#: Documented bound of the sample that clusters are fitted on, and of clusters; both only decide how much is excluded.
 SAMPLE, MOST_CLUSTERS = 32_768, 4_096
-#: Edges of a node, slack of the pruning, first beam, medoids of a block.
-DEGREE, ALPHA, BEAM, MEDOIDS = 24, 1.2, 16, 32
-#: The search follows nodes down to this much below the range; double precision decides in the end.
-SLACK = 0.1
+#: Slack of the bounds, above the rounding of angles and products in double precision.
+SLACK = 1e-6
 
 
 def unit(v: Column) -> Column:
@@ -69,167 +69,180 @@ def centres(units: DataFrame, n: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _assigned(units: DataFrame, centre: np.ndarray) -> DataFrame:
-    """(node, v, clusters) with the nearest clusters in ascending order."""
-    shared = units.sparkSession.sparkContext.broadcast(centre)      # MOST_CLUSTERS vectors at most
+def _similar(v: pd.Series, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, similarities to the centres) of the vectors of the centres' length, some at a time."""
+    same = np.flatnonzero(v.map(len).to_numpy() == c.shape[1])
+    for k in range(0, len(same), 512):
+        some = same[k:k + 512]
+        yield some, np.stack(v.iloc[some].to_numpy()) @ c.T
+
+
+def _homes(nodes: DataFrame, centre: np.ndarray) -> DataFrame:
+    """(node, v, copies, cluster, angle): the cluster of the nearest centre and the angle to it.  Vectors of
+    another length are a cluster of their own kind, below zero."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centre)      # MOST_CLUSTERS vectors at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for b in batches:
-            out = []
-            for v in b["v"]:
-                if len(v) != c.shape[1]:                            # of another length: a cluster of its own kind
-                    out.append([-1 - len(v)])
-                    continue
-                s = c @ np.asarray(v, dtype=np.float32)
-                k = min(OVERLAP, len(s))
-                out.append(sorted(np.argpartition(-s, k - 1)[:k].tolist()))
-            yield pd.DataFrame({"node": b["node"], "v": b["v"], "clusters": out})
-
-    return units.select("node", "v").mapInPandas(run, "node bigint, v array<double>, clusters array<int>")
-
-
-def robust_prune(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbours of each row of unit vectors: near ones first, leaving out those that a chosen one is
-    clearly nearer to than the row itself (squared distances against ALPHA squared)."""
-    n = len(x)
-    out = []
-    for start in range(0, n, 512):
-        sims = x[start:start + 512] @ x.T
-        k = min(n, 3 * DEGREE + 1)
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        for r in range(len(sims)):
-            cand = top[r][np.argsort(-sims[r, top[r]], kind="stable")]
-            cand = cand[cand != start + r]
-            far = 1 - sims[r, cand]
-            between = 1 - x[cand] @ x[cand].T
-            alive = np.ones(len(cand), dtype=bool)
-            chosen = []
-            for p in range(len(cand)):
-                if alive[p]:
-                    chosen.append(cand[p])
-                    if len(chosen) == DEGREE:
-                        break
-                    alive &= ALPHA * ALPHA * between[p] > far
-            out.append(np.array(chosen, dtype=np.int64))
-    return out
+            cluster, angle = -1 - b["v"].map(len).to_numpy(), np.zeros(len(b))
+            for some, s in _similar(b["v"], c):
+                home = s.argmax(1)
+                cluster[some] = home
+                angle[some] = _angles(s[np.arange(len(some)), home], np.linalg.norm(c[home], axis=1))
+            yield b.assign(cluster=cluster, angle=angle)
+
+    return nodes.select("node", "v", "copies").mapInPandas(
+        run, "node bigint, v array<double>, copies bigint, cluster bigint, angle double")
 
 
-def _medoids(x: np.ndarray) -> np.ndarray:
-    """Rows that stand for parts of a block: the one nearest the mean, then each the farthest from all so far."""
-    first = int((x @ x.mean(0)).argmax())
-    out, best = [first], x @ x[first]
-    while len(out) < min(MEDOIDS, len(x)):
-        k = int(best.argmin())
-        out.append(k)
-        best = np.maximum(best, x @ x[k])
-    return np.array(sorted(set(out)))
+def _angles(s: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(s / length, -1, 1))
 
 
-def range_search(x: np.ndarray, adjacent: np.ndarray, entry: np.ndarray, q: np.ndarray, own: np.ndarray,
-                 floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of similarity `floor` or more found on the graph.
+class Blocks:
+    """Which blocks the vectors of a cluster go to, and which blocks a vector must be searched for in.
 
-    `adjacent` is padded with -1; `own` is a query's row, -1 where the block does not hold it.
+    `clusters` has the cluster, n, low and high (angles) of every cluster that is not empty.  A pack is a
+    cluster, or small clusters in a row by nearness; it has one block, or as many as its size asks for.
     """
-    n, nq = len(x), len(q)
-    seen = np.zeros((nq, n), dtype=bool)
-    found_q: list[np.ndarray] = []
-    found_r: list[np.ndarray] = []
-
-    def visit(a: np.ndarray, r: np.ndarray) -> np.ndarray:
-        seen[a, r] = True
-        s = np.einsum("ij,ij->i", q[a], x[r])
-        hit = s >= floor
-        if hit.any():
-            found_q.append(a[hit])
-            found_r.append(r[hit])
-        return s
-
-    def fresh(a: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = adjacent[nodes]
-        a, r = np.repeat(a, rows.shape[1]), rows.ravel()
-        ok = r >= 0
-        a, r = a[ok], r[ok]
-        ok = ~seen[a, r]
-        flat = np.unique(a[ok] * n + r[ok])
-        return flat // n, flat % n
-
-    todo, beam = np.arange(nq), BEAM
-    while len(todo):
-        # greedy: expand the best node of each beam that is not expanded yet
-        width = min(beam, n)
-        start = entry[(q[todo] @ x[entry].T).argmax(1)]
-        ids = np.full((nq, width), -1)
-        sims = np.full((nq, width), -np.inf)
-        done = np.ones((nq, width), dtype=bool)
-        ids[todo, 0], sims[todo, 0], done[todo, 0] = start, np.einsum("ij,ij->i", q[todo], x[start]), False
-        seen[todo] = False
-        visit(todo, start)
-        active = todo
-        while len(active):
-            open_sims = np.where(done[active], -np.inf, sims[active])
-            pick = open_sims.argmax(1)
-            go = open_sims[np.arange(len(active)), pick] > -np.inf
-            active, pick = active[go], pick[go]
-            if not len(active):
-                break
-            done[active, pick] = True
-            a, r = fresh(active, ids[active, pick])
-            if not len(a):
-                continue
-            s = visit(a, r)
-            # merge each query's new nodes into its beam
-            owner, first, count = np.unique(a, return_index=True, return_counts=True)
-            most = count.max()
-            at = np.arange(len(a)) - np.repeat(first, count)
-            row = np.repeat(np.arange(len(owner)), count)
-            new_ids, new_sims = np.full((len(owner), most), -1), np.full((len(owner), most), -np.inf)
-            new_ids[row, at], new_sims[row, at] = r, s
-            all_ids, all_sims = np.hstack([ids[owner], new_ids]), np.hstack([sims[owner], new_sims])
-            all_done = np.hstack([done[owner], new_sims == -np.inf])
-            top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            ids[owner], sims[owner], done[owner] = (np.take_along_axis(m, top, 1) for m in (all_ids, all_sims, all_done))
-        lost = todo[(own[todo] >= 0) & ~seen[todo, np.maximum(own[todo], 0)]]
-        if beam >= n:
-            # the graph has no path there: start from the vector itself
-            if len(lost):
-                visit(lost, own[lost])
-            break
-        todo, beam = lost, beam * 4
-    # range: follow every edge of what is in range
-    if found_q:
-        a, r = np.concatenate(found_q), np.concatenate(found_r)
-        while len(a):
-            before = len(found_q)
-            a, r = fresh(a, r)
-            if len(a):
-                visit(a, r)
-            a = np.concatenate(found_q[before:]) if len(found_q) > before else a[:0]
-            r = np.concatenate(found_r[before:]) if len(found_r) > before else r[:0]
-        flat = np.unique(np.concatenate(found_q) * n + np.concatenate(found_r))
-        return flat // n, flat % n
-    return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-
-def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """Links of (u, v) that connect what was not connected before."""
-    parent: dict[int, int] = {}
-
-    def root(k: int) -> int:
-        while (p := parent.setdefault(k, k)) != k:
-            parent[k] = k = parent[p]
-        return k
-
-    out = []
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
+
+    def __init__(self, clusters: pd.DataFrame, centre: np.ndarray, cosine: float):
+        self.centre, self.range = centre, np.arccos(np.clip(cosine, -1, 1)) + SLACK
+        self.side = np.sin(self.range) if self.range < np.pi / 2 else np.inf
+        rows = clusters.set_index("cluster")
+        self.chain = np.array(_chain(centre, sorted(k for k in rows.index if k >= 0)), dtype=np.int64)
+        self.low, self.high = rows["low"].reindex(self.chain).to_numpy(), rows["high"].reindex(self.chain).to_numpy()
+        total = int(rows["n"].sum()) if len(rows) else 0
+        self.pack: dict[int, int] = {}
+        self.starts: list[int] = []                                   # of packs in the chain
+        sizes: list[int] = []
+        most: list[int] = []
+        for k, cluster in enumerate([*self.chain.tolist(), *(k for k in rows.index if k < 0)]):
+            width, n = centre.shape[1] if cluster >= 0 else -1 - cluster, int(rows["n"][cluster])
+            size = max(512, min(max(FEWEST, -(-total // PARTS)), MOST, MOST * WIDTH // max(1, width)))
+            if cluster < 0 or not sizes or sizes[-1] + n > size:
+                sizes.append(0)
+                most.append(size)
+                if cluster >= 0:
+                    self.starts.append(k)
+            sizes[-1] += n
+            self.pack[cluster] = len(sizes) - 1
+        self.pieces = np.array([-(-n // m) for n, m in zip(sizes, most, strict=True)], dtype=np.int64)
+        self.first = np.cumsum(self.pieces) - self.pieces
+        self.n = int(self.pieces.sum())
+        self.spans = self.n // 2 // SPAN + 1
+
+    def packs_met(self, home: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Per vector, given its home and its similarities to the centres, the packs it may find something in."""
+        c = self.centre[self.chain]
+        near = s[np.arange(len(s)), home]
+        apart = np.sqrt(np.maximum(0, ((self.centre ** 2).sum(1)[home][:, None] + (c ** 2).sum(1) - 2 * self.centre[home] @ c.T)))
+        s = s[:, self.chain]
+        angle = _angles(s, np.linalg.norm(c, axis=1))
+        met = near[:, None] - s <= self.side * (apart + SLACK) + SLACK
+        met &= (angle - self.high <= self.range) & (self.low - angle <= self.range)
+        return np.logical_or.reduceat(met, self.starts, axis=1)
+
+    def routes(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(block, span, own, node, v, copies): each vector in every span of its own block, and as a query of
+        the blocks it meets among the half of all that follow its own in a circle."""
+        every = np.arange(self.n)
+        of_block = np.repeat(np.arange(len(self.pieces)), self.pieces)
+        for b in batches:
+            met = np.zeros((len(b), len(self.pieces)), dtype=bool)
+            pack = b["cluster"].map(self.pack).to_numpy(dtype=np.int64)
+            home = b["cluster"].to_numpy()
+            for some, s in _similar(b["v"], self.centre):
+                met[some, :len(self.starts)] = self.packs_met(home[some], s)
+            met[np.arange(len(b)), pack] = True
+            mixed = (b["node"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = self.first[pack] + (mixed % self.pieces[pack].astype(np.uint64)).astype(np.int64)
+            data = np.array([np.asarray(v, dtype=np.float64).tobytes() for v in b["v"]], dtype=object)
+            node, copies = b["node"].to_numpy(), b["copies"].to_numpy()
+            for k in range(0, len(b), AT_ONCE):
+                ahead = (every - block[k:k + AT_ONCE, None]) % self.n
+                half = (ahead > 0) & ((2 * ahead < self.n) | (2 * ahead == self.n) & (block[k:k + AT_ONCE, None] < every))
+                i, j = np.nonzero(half & met[k:k + AT_ONCE][:, of_block])
+                mine = np.repeat(np.arange(len(ahead)), self.spans)
+                at = np.concatenate([mine, i]) + k
+                yield pd.DataFrame({
+                    "block": np.concatenate([block[mine + k], j]),
+                    "span": np.concatenate([np.tile(np.arange(self.spans), len(ahead)), ahead[i, j] // SPAN]),
+                    "own": np.arange(len(at)) < len(mine), "node": node[at], "v": data[at], "copies": copies[at]})
+
+
+def _chain(centre: np.ndarray, some: list[int]) -> list[int]:
+    """Clusters in a row, each followed by the nearest one that is left."""
+    if not some:
+        return []
+    out, left = [some[0]], np.array(some[1:], dtype=np.int64)
+    while len(left):
+        k = int((centre[left] @ centre[out[-1]]).argmax())
+        out.append(int(left[k]))
+        left = np.delete(left, k)
     return out
 
 
+def _span(hit: np.ndarray, row: np.ndarray, col: np.ndarray, label: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links of `hit` that connect what has different labels, and the labels after that."""
+    out: list[tuple[int, int]] = []
+    while True:
+        apart = hit & (label[row][:, None] != label[col])
+        i, j = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+        if not len(i):
+            return out, label
+        parent: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while (p := parent.setdefault(k, k)) != k:
+                parent[k] = k = parent[p]
+            return k
+
+        u = np.concatenate([row[i], row[apart[:, j].argmax(0)]])
+        v = np.concatenate([col[apart[i].argmax(1)], col[j]])
+        for s, t, a, b in zip(u.tolist(), v.tolist(), label[u].tolist(), label[v].tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                out.append((s, t))
+        to = np.arange(len(label))
+        for k in list(parent):
+            to[k] = root(k)
+        label = to[label]
+
+
+def range_join(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """Links of a block's own vectors with the queries and, in its first span, with each other: (u, -1, n)
+    counts the links of u, (u, v, 0) are links that span the components."""
+    pdf = pdf.sort_values("own", ascending=False, kind="stable")
+    n_own, first = int(pdf["own"].sum()), 0 if pdf["span"].iloc[0] == 0 else int(pdf["own"].sum())
+    x = np.frombuffer(b"".join(pdf["v"]), dtype=np.float64).reshape(len(pdf), -1)
+    single, error = x.astype(np.float32), 6e-8 * (x.shape[1] + 8)
+    weight, count = pdf["copies"].to_numpy(dtype=np.float64), np.zeros(len(pdf))
+    label, tree, own = np.arange(len(pdf)), [], np.arange(n_own)
+    cuts = [*range(first, n_own, AT_ONCE), *range(max(first, n_own), len(pdf), AT_ONCE), len(pdf)]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        s = single[start:end] @ single[:n_own].T
+        hit = s >= cosine + error
+        i, j = np.nonzero(~hit & (s >= cosine - error))
+        hit[i, j] = np.einsum("ij,ij->i", x[start + i], x[j]) >= cosine
+        row = np.arange(start, end)
+        if start < n_own:
+            hit[row - start, row] = False                             # the vector itself
+        if not hit.any():
+            continue
+        count[start:end] += hit @ weight[:n_own]
+        if start >= n_own:
+            count[:n_own] += weight[start:end] @ hit
+        links, label = _span(hit, row, own, label)
+        tree += links
+    node, linked = pdf["node"].to_numpy(), np.flatnonzero(count)
+    u, v = np.array(tree, dtype=np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"u": np.concatenate([node[linked], node[u]]), "v": np.concatenate([np.full(len(linked), -1), node[v]]),
+                         "n": np.concatenate([count[linked].astype(np.int64), np.zeros(len(u), dtype=np.int64)])})
+
+
 def near_links(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, counts, forest): each row's node; links counted per node; links that span the components.
 
@@ -242,71 +255,20 @@ def near_links(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding"
         F.min("v").alias("v"), F.count(F.lit(1)).alias("copies")).withColumn(
         "node", F.monotonically_increasing_id()), "vec-nodes")
     n = nodes.count()
-    members = written(_assigned(nodes, centres(nodes, max(1, min(MOST_CLUSTERS, -(-n // PER_CLUSTER))))).join(
-        nodes.select("node", "copies"), "node"), "vec-members")
-    in_cluster = members.select("node", "v", "clusters", "copies", F.explode("clusters").alias("cluster"))
-    sizes = in_cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))   # a row per cluster
-    placed = written(in_cluster.join(sizes, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "vec-placed")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), dtype=np.float32)
-        ids = pdf["node"].to_numpy()
-        both: list[set[int]] = [set() for _ in ids]                  # edges lead back as well, so every node is reached
-        for k, a in enumerate(robust_prune(x)):
-            both[k].update(a.tolist())
-            for j in a.tolist():
-                both[j].add(k)
-        return pd.DataFrame({"node": ids, "adjacent": [ids[sorted(a)].tolist() for a in both]})
-
-    lists = placed.select("cluster", "block", "node", "v").groupBy("cluster", "block").applyInPandas(
-        build, "node bigint, adjacent array<bigint>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
-    base = placed.join(united, "node").select("cluster", "block", "node", "v", "clusters", "copies", "adjacent")
-    queries = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).select(
-        "cluster", "block", "node", "v", "clusters", "copies")
-    queries = queries.toDF(*queries.columns)                         # columns of their own beside the base
-
-    def search(key: tuple, b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        x = np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1)
-        ids, weight = b["node"].to_numpy(), b["copies"].to_numpy()
-        order = np.argsort(ids)
-        width = max((len(a) for a in b["adjacent"]), default=1) or 1
-        adjacent = np.full((len(b), width), -1)
-        for k, a in enumerate(b["adjacent"]):                        # edges to vectors that the block does not hold drop out
-            at = np.searchsorted(ids, a, sorter=order)
-            ok = (at < len(ids))
-            rows_ = order[at[ok]]
-            rows_ = rows_[ids[rows_] == np.asarray(a)[ok]]
-            adjacent[k, :len(rows_)] = rows_
-        entry = _medoids(x)
-        b_clusters = b["clusters"].tolist()
-        for start in range(0, len(q), 1024):
-            some = q.iloc[start:start + 1024]
-            qx, qid = np.array(some["v"].tolist(), dtype=np.float64), some["node"].to_numpy()
-            at = np.minimum(np.searchsorted(ids, qid, sorter=order), len(ids) - 1)
-            own = np.where(ids[order[at]] == qid, order[at], -1)
-            a, r = range_search(x, adjacent, entry, qx, own, cosine - SLACK)
-            exact = np.einsum("ij,ij->i", qx[a], x[r]) >= cosine
-            keep = exact & (qid[a] != ids[r])
-            q_clusters = some["clusters"].tolist()
-            # counted here only if no lower cluster has both
-            keep[keep] = [min(set(q_clusters[i]) & set(b_clusters[j])) == key[0] for i, j in zip(a[keep], r[keep], strict=True)]
-            a, r = a[keep], r[keep]
-            n_links = np.bincount(a, weights=weight[r], minlength=len(qid)).astype(np.int64)
-            some_links = np.flatnonzero(n_links)
-            parts.append(pd.DataFrame({"u": qid[some_links], "v": -1, "n": n_links[some_links]}))
-            tree = _forest(qid[a], ids[r])
-            parts.append(pd.DataFrame({"u": [s for s, _ in tree], "v": [t for _, t in tree], "n": 0}))
-        return pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
-
-    found = written(base.groupBy("cluster", "block").cogroup(queries.groupBy("cluster", "block")).applyInPandas(
-        search, "u bigint, v bigint, n bigint"), "vec-links")
+    centre = centres(nodes, max(1, min(MOST_CLUSTERS, -(-n // PER_CLUSTER)))).astype(np.float64)
+    homes = written(_homes(nodes, centre), "vec-homes")
+    # a row per cluster and per length of vectors
+    clusters = homes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).toPandas()
+    blocks = Blocks(clusters.sort_values("cluster"), centre, cosine)
+    shared = nodes.sparkSession.sparkContext.broadcast(blocks)
+    placed = homes.mapInPandas(lambda batches: shared.value.routes(batches),
+                               "block bigint, span bigint, own boolean, node bigint, v binary, copies bigint")
+    found = written(placed.groupBy("block", "span").applyInPandas(
+        lambda pdf: range_join(pdf, cosine), "u bigint, v bigint, n bigint"), "vec-links")
     counts = found.where("v < 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     forest = found.where("v >= 0").select("u", "v")
     keys = written(rows.select("id", "same").join(nodes.select("same", "node", "copies"), "same", "left"), "vec-rows")
-    discard(members)
+    discard(homes)
     return keys, counts, forest
 
 
