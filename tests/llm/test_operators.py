@@ -156,6 +156,23 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_copies_after_parts(spark):
+    passage = [f"line{k} has words" for k in range(10)]
+    rows = [(0, "\n".join(passage[:5])), (1, "\n".join(passage[4:]))] + [(2 + k, prose(700 + k, 24) + "\n" + "\n".join(passage)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs).collect()}
+    assert all(out[k] == dict(rows)[k] for k in (0, 1, 2))      # no earlier one has 20 words of it
+    assert all(out[2 + k] == prose(700 + k, 24) for k in range(1, 40))
+
+
+def test_common_blocks_that_cross_an_alignment():
+    block, others = list(range(100, 103)), list(range(10))
+    later = [x for k in others for x in (k, 1000 + k)]
+    words = [7] * 3 + [1] * len(later)
+    first = [x for k in others for x in (k, 2000 + k)] + block
+    assert line_dedup.common_blocks(first, block + later, words) == [(0, 3)]
+
+
 # 4 quality model
 
 def test_model_sums_to_one_and_tells_junk(spark):

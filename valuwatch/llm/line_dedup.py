@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share lines in sequence.  The keys of a document are its pairs of
-consecutive lines and its long single lines; a key links a document to the first document that holds it
-and, if the key is rare, also to the last one before.  So a key held by any number of documents yields
-at most two pairs for each of them.  A pair is aligned by patience diff on line hashes; common blocks
-with enough words are deleted from the later document.
+Documents overlap where they share lines in sequence.  The keys of a document are its shortest runs of
+consecutive lines with enough words, one from every line; a key links a document to the first document
+that holds it.  Every common block is covered by such runs, and the first holder of a run has all of it,
+so one partner a key finds every block, however many documents hold it.  A pair is aligned by patience
+diff on line hashes; common blocks with enough words are deleted from the later document, and so are
+common runs that cross what was aligned.
 
 Only line hashes travel with the pairs; texts are read again once to cut the deleted lines out.
 """
@@ -16,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -24,8 +25,6 @@ from .common import WORD, let, pack, unpack
 
 #: A common block is deleted from the later document if it has this many words.
 MIN_WORDS = 20
-#: A key held by this many documents at most is rare.
-RARE = 16
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -108,7 +107,8 @@ def common_blocks(first: list[int], later: list[int], n_words: list[int], least:
     """Blocks [start, end) of `later` that stand in `first` too and have `least` words.
 
     What is left after an alignment is aligned again until nothing of that size is found, so blocks in
-    another order are found as well.
+    another order are found as well.  Runs that an alignment passes over, or that share lines with a block
+    found before, are looked up at last.
     """
     live = list(range(len(later)))
     blocks: list[tuple[int, int]] = []
@@ -125,13 +125,36 @@ def common_blocks(first: list[int], later: list[int], n_words: list[int], least:
             if i >= 0:
                 run.append((i, j))
         if not found:
-            return blocks
+            break
         blocks += found
         gone = {k for s, e in found for k in range(s, e)}
         live = [k for k in live if k not in gone]
+    left, grams = set(live), {}
+    for start, end in _runs(n_words, least):
+        if left.isdisjoint(range(start, end)):
+            continue
+        size = end - start
+        if size not in grams:
+            grams[size] = {tuple(first[k:k + size]) for k in range(len(first) - size + 1)}
+        if tuple(later[start:end]) in grams[size]:
+            blocks.append((start, end))
+            left.difference_update(range(start, end))
     return blocks
 
 
+def _runs(n_words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """The shortest run [start, end) with `least` words from every line that has one."""
+    end, held = 0, 0
+    for start, n in enumerate(n_words):
+        while held < least and end < len(n_words):
+            held += n_words[end]
+            end += 1
+        if held < least:
+            return
+        yield start, end
+        held -= n
+
+
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """(key, pos, hash, words) arrays per document: its lines that hold a word, in order."""
     line = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
@@ -141,22 +164,26 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("key", F.size(line).alias("n_lines"), F.filter(judged, lambda x: x["words"] > 0).alias("lines"))
 
 
-def _pairs(lines: DataFrame, least: int, rare: int) -> DataFrame:
-    """(first, later) document keys that may share a block of `least` words."""
-    two = F.transform("lines", lambda x, i: F.when(
-        F.get("lines", i + 1).isNotNull(), F.xxhash64(x["hash"], F.get("lines", i + 1)["hash"])))
-    one = F.transform("lines", lambda x: F.when(x["words"] >= least, x["hash"]))
-    held = lines.select("key", F.explode(F.array_distinct(F.filter(F.concat(two, one), lambda h: h.isNotNull()))).alias("h"))
-    shared = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last")).where(
-        "first < last")
-    held = written(held.join(shared.drop("last"), "h"), "line-keys")
-    before = F.lag("key").over(Window.partitionBy("h").orderBy("key"))
-    to_first = held.where("key > first").select("first", F.col("key").alias("later"))
-    to_last = held.where(F.col("n") <= rare).select(before.alias("first"), F.col("key").alias("later")).where("first < later")
-    return to_first.union(to_last).distinct()
+def _run_keys(least: int) -> Column:
+    """Hashes of the shortest runs with `least` words, null from lines after which too few follow."""
+    def key(x: Column, i: Column) -> Column:
+        second = F.get("lines", i + 1)
+        two = F.struct((x["words"] + second["words"]).alias("words"), F.xxhash64(x["hash"], second["hash"]).alias("hash"))
+        more = F.aggregate(F.slice("lines", i + 3, max(1, least - 2)), two, lambda t, y: F.when(t["words"] >= least, t).otherwise(
+            F.struct((t["words"] + y["words"]).alias("words"), F.xxhash64(t["hash"], y["hash"]).alias("hash"))))
+        return F.when(x["words"] >= least, x["hash"]).when(two["words"] >= least, two["hash"]).when(
+            second.isNotNull(), let(more, lambda t: F.when(t["words"] >= least, t["hash"])))
+    return F.transform("lines", key)
+
+
+def _pairs(lines: DataFrame, least: int) -> DataFrame:
+    """(first, later) document keys that share a block of `least` words: each with the first holder of each run."""
+    held = lines.select("key", F.explode(F.array_distinct(F.filter(_run_keys(least), lambda h: h.isNotNull()))).alias("h"))
+    shared = held.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    return held.join(shared.drop("last"), "h").where("key > first").select("first", F.col("key").alias("later")).distinct()
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """`docs` with the text cut in `text`, and n_lines, n_cut (lines cut) and cuts (spans of lines, end exclusive).
 
     Order is by id, nulls first, then by a hash of the text; rows equal in both are one document, cut
@@ -167,7 +194,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     key = F.struct(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash")).alias("key")
     keyed = docs.select(pack(docs), F.col(text).alias("text"), key)
     lines = written(_lines(keyed, "text").dropDuplicates(["key"]), "line-hashes")
-    pairs = _pairs(lines, least, rare)
+    pairs = _pairs(lines, least)
     some = lines.select("key", F.col("lines.hash").alias("hash"), F.col("lines.words").alias("words"), F.col("lines.pos").alias("pos"))
     sides = pairs.join(some.select(F.col("key").alias("first"), F.col("hash").alias("a")), "first").join(
         some.select(F.col("key").alias("later"), F.col("hash").alias("b"), "words", "pos"), "later")
@@ -183,7 +210,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     kind = docs.schema[id].dataType.simpleString()
     found = sides.select("later.id", "later.hash", "a", "b", "words", "pos").mapInPandas(
         align, f"id {kind}, hash bigint, cuts array<struct<start:int,end:int>>")
-    # a document meets at most two partners a key, so its cuts are bounded by its lines
+    # a document meets at most one partner a key, so its cuts are bounded by its lines
     cuts = found.where(F.size("cuts") > 0).groupBy("id", "hash").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
 
@@ -206,7 +233,9 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     sized = cuts.withColumn("key", F.struct("id", "hash")).join(lines.select("key", "n_lines"), "key")
     final = written(sized.select("id", "hash", "cuts", "n_lines").mapInPandas(
         merge, f"id {kind}, hash bigint, cuts array<struct<start:int,end:int>>, kept array<struct<start:int,n:int>>"), "line-cuts")
-    out = keyed.join(final.select(F.struct("id", "hash").alias("key"), "cuts", "kept"), "key", "left")
+    # the cuts grow with the documents, so they are dealt by key at any size and not broadcast while small
+    spans = final.select(F.struct("id", "hash").alias("key"), "cuts", "kept").hint("shuffle_hash")
+    out = keyed.join(spans, "key", "left")
     line = F.split("text", "\n")
     cut = let(line, lambda x: F.array_join(F.flatten(F.transform("kept", lambda k: F.slice(x, k["start"] + 1, k["n"]))), "\n"))
     none = F.array().cast("array<struct<start:int,end:int>>")
