@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuwatch.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
-from valuwatch.llm.common import BLANKS, table
+from valuwatch.llm.common import BLANKS, pack, table, unpack
 from valuwatch.session import written
 
 #: No single statement: alignment, links and mixing are iterative.
@@ -26,10 +26,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id."""
-    classes = jaccard_join.similarity_classes(docs)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near copies, the one with the smallest id.
+
+    Rows are known by id and text, as an id may be null or have several texts.  Null ids come last, texts
+    of one id follow a hash, and of rows equal in both one stays.  Rows without a word are copies of nothing.
+    """
+    key = F.xxhash64("doc_id", "text").alias("key")
+    keyed = docs.select(pack(docs), key, F.col("doc_id").alias("id"))
+    members, parts = jaccard_join.link_classes(docs.select(key, "text"), id="key")
+    rows = members.where("n > 0").groupBy("id").agg(F.min("cid").alias("cid"), F.count(F.lit(1)).alias("copies")).withColumnRenamed("id", "key")
+    rows = rows.join(parts.withColumnRenamed("node", "cid"), "cid", "left").join(keyed.groupBy("key").agg(F.min("id").alias("id")), "key")
+    rows = written(rows.select("key", "copies", F.coalesce("component", "cid").alias("part"),
+                               F.struct(F.col("id").isNull().alias("last"), "id", "key").alias("rank")), "copy-rows")
+    best = rows.groupBy("part").agg(F.min("rank").alias("best"))
+    judged = written(rows.join(best, "part").select("key", "copies", (F.col("rank") == F.col("best")).alias("kept")), "copy-keys")
+    alone = keyed.join(judged.where("not kept or copies > 1").select("key").hint("shuffle_hash"), "key", "left_anti")
+    # equal rows of a kept document may differ in other columns
+    again = keyed.join(judged.where("kept and copies > 1").select("key").hint("shuffle_hash"), "key", "left_semi")
+    one = again.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return unpack(alone.select("row").union(one.select("row")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

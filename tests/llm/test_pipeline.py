@@ -33,3 +33,14 @@ def test_pipeline(spark):
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert tokens.where("not round_trip").count() == 0 and tokens.count() == mixed.count()
     assert lines.where("text = ''").count() == 0
+
+
+def test_copies_are_rows(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (2, a, "s"), (2, b, "s"), (None, a, "s"), (None, c, "s"), (None, c, "s"),
+            (3, d, "s"), (3, d + " more", "s"), (4, None, "s"), (5, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = corpus_pipeline.copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = [(x["doc_id"], (x["text"] or "")[:1]) for x in out.collect()]
+    assert sorted(left, key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (4, ""), (5, "")], key=str)
