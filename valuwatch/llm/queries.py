@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, html_text, jaccard_join, line_dedup, mixing, pii, quality_model, quality_rules, sharding,
-               vector_dedup)
+from . import (bpe, chat_format, html_text, jaccard_join, line_dedup, mixing, pii, quality_model, quality_rules,
+               resampling, sharding, turn_repair, vector_dedup)
 from .common import table
 from .oracles import ORACLES
 
@@ -84,7 +84,40 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resampling.resample(docs.select("doc_id", "text"), target.select("text")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    said = F.lit("</s>[INST] ok [/INST]")
+    empty = F.lit(None).cast("string")
+    fields = {"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit("")), "prompt": empty, "completion": empty}
+    one = {"role": empty, "text": empty, "prompt": said, "completion": said}
+    kind = rows.schema["conv_id"].dataType
+
+    def record(turn: Column, values: dict[str, Column]) -> Column:
+        return F.struct(turn.cast("long").alias("turn"), *[c.alias(k) for k, c in values.items()]).alias("record")
+
+    # the row beside the table is in another layout, a prompt with its completion
+    extra = spark.range(1).select(F.lit(-1).cast(kind).alias("conv_id"), record(F.lit(None), one))
+    records = rows.select("conv_id", record(F.col("turn"), fields)).unionByName(extra)
+    done = chat_format.format_records(records, id="conv_id")
+    read = done.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"), F.array_join(
+        chat_format.read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"), F.length("formatted").alias("n"))
+    said_again = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_again, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.col("n").cast("long").alias("formatted_chars"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mix_sources, op2_byte_bpe, op3_line_dedup, op4_quality_model, op5_quality_rules, op6_shards,
-    op7_personal_data, op8_html_text, op9_near_vectors, op10_jaccard_join)}
+    op7_personal_data, op8_html_text, op9_near_vectors, op10_jaccard_join, op11_target_resampling, op12_chat_format, op13_turn_repair)}
 ORACLE_SQL = ORACLES
