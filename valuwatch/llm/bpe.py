@@ -10,6 +10,8 @@ every step acts on all pieces still merging.  Long pieces get a tree each.
 from __future__ import annotations
 
 import base64
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -24,29 +26,41 @@ from pyspark.sql import types as T
 NONE = np.int32(2**31 - 1)
 #: Longest piece, in bytes, merged together with others.
 TOGETHER = 128
-#: Pieces kept per Python worker, in each of two generations.
-KEPT = 400_000
-#: Rows and tokens of one Arrow batch at most, so that texts of any length leave in bounded batches.
-ROWS, TOKENS = 2_000, 4_000_000
+#: Bytes of encoded pieces that a task keeps, in each of two generations, and what a piece costs beside its own.
+KEPT, ENTRY = 16 << 20, 160
+#: Pieces handled at a time, and rows and tokens of one Arrow batch at most, so that texts of any length leave
+#: in bounded batches.
+PIECES, ROWS, TOKENS = 250_000, 1_000, 2_000_000
+
+
+def tokens(file: bytes) -> dict[int, bytes]:
+    """The bytes of each id of a `.tiktoken` file."""
+    return {int(b): base64.b64decode(a) for a, b in (line.split() for line in file.splitlines() if line)}
 
 
 class Vocabulary:
     """Ranks of a `.tiktoken` file: lines of base64 bytes and a rank, which is also the id."""
 
     def __init__(self, file: bytes):
-        self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line)}
-        self.token = {i: t for t, i in self.ids.items()}
-        self.size = max(self.token) + 1
+        self.ids = {t: i for i, t in tokens(file).items()}
+        self.size = max(self.ids.values()) + 1
         self.byte = np.array([self.ids[bytes([i])] for i in range(256)], dtype=np.int32)
-        pairs = {}
+        keys, ranks = array("q"), array("i")
         for t, i in self.ids.items():
             for k in range(1, len(t)):
                 a, b = self.ids.get(t[:k]), self.ids.get(t[k:])
                 if a is not None and b is not None:
-                    pairs[a * self.size + b] = i
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
+                    keys.append(a * self.size + b)
+                    ranks.append(i)
+        order = np.argsort(np.frombuffer(keys, dtype=np.int64))
+        self.keys, self.ranks = np.frombuffer(keys, dtype=np.int64)[order], np.frombuffer(ranks, dtype=np.int32)[order]
+        # the same without a wrapper around each number, for one lookup at a time
+        self.sorted_keys, self.sorted_ranks = array("q", self.keys.tobytes()), array("i", self.ranks.tobytes())
+
+    def pair_rank(self, a: int, b: int) -> int:
+        key = a * self.size + b
+        at = bisect_left(self.sorted_keys, key)
+        return self.sorted_ranks[at] if at < len(self.sorted_keys) and self.sorted_keys[at] == key else int(NONE)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -115,17 +129,19 @@ class Vocabulary:
             if some.any():
                 put(rows[some], before[some], self.pair_ranks(token[rows[some], before[some]], low[some]))
             rows = rows[tree[rows, 1] != NONE]
-        for r in range(n):
-            yield token[r][~gone[r]].astype("<i4").tobytes()
+        ends = np.cumsum((~gone).sum(1)) * 4
+        flat = token[~gone].astype("<i4").tobytes()
+        yield from (flat[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def _merge_one(self, piece: bytes) -> list[int]:
         n, none = len(piece), int(NONE)
         width = 1 << (n - 1).bit_length()
         token = self.byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        lookup, size = self.pairs.get, self.size
+        lookup = self.pair_rank
         tree = [none] * (2 * width)
-        tree[width:width + n - 1] = [lookup(a * size + b, none) for a, b in zip(token, token[1:], strict=False)]
+        first = np.array(token, dtype=np.int32)
+        tree[width:width + n - 1] = self.pair_ranks(first[:-1], first[1:]).tolist()
         for v in range(width - 1, 0, -1):
             tree[v] = min(tree[2 * v], tree[2 * v + 1])
 
@@ -151,55 +167,57 @@ class Vocabulary:
             put(j, none)
             if k < n:
                 left[k] = i
-            put(i, lookup(low * size + token[k], none) if k < n else none)
+            put(i, lookup(low, token[k]) if k < n else none)
             if left[i] >= 0:
-                put(left[i], lookup(token[left[i]] * size + low, none))
+                put(left[i], lookup(token[left[i]], low))
         return [t for t in token if t >= 0]
 
 
 class Encoder:
-    """Splits texts by a pattern and encodes the pieces; repeated pieces come from a bounded memory."""
+    """Splits texts by a pattern and encodes the pieces; repeated pieces come from a memory of bounded bytes."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, pending, held = [], [], 0
         for t in texts:
             pending.append(self.split(t) if t else [])
             held += len(pending[-1])
-            if held > 1_000_000:
+            if held > PIECES:
                 out += self._known(pending)
                 pending, held = [], 0
         return out + self._known(pending)
 
     def _known(self, split: list[list[str]]) -> list[bytes]:
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
+        if self.held > KEPT:
+            self.old, self.young, self.held = self.young, {}, 0
         young = self.young
         new = set().union(*split).difference(young)
-        if self.old:
-            young.update((p, self.old[p]) for p in new.intersection(self.old))
-            new.difference_update(young)
-        new = list(new)
-        young.update(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new]), strict=True))
+        again = new.intersection(self.old)
+        young.update((p, self.old[p]) for p in again)
+        new = list(new.difference(again))
+        coded = self.vocabulary.encode_pieces([p.encode() for p in new])
+        young.update(zip(new, coded, strict=True))
+        self.held += ENTRY * (len(again) + len(new)) + sum(map(len, new)) + sum(map(len, coded)) + sum(map(len, again))
         return [b"".join(map(young.__getitem__, pieces)) for pieces in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _vocabulary(file: bytes) -> Vocabulary:
     return Vocabulary(file)
 
 
-@lru_cache(maxsize=2)
-def _encoder(file: bytes, pattern: str) -> Encoder:
-    return Encoder(_vocabulary(file), pattern)
+@lru_cache(maxsize=1)
+def _tokens(file: bytes) -> dict[int, bytes]:
+    return tokens(file)
 
 
-def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(column, kind)])
+def _with(schema: T.StructType, column: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != column] + [T.StructField(column, kind)])
 
 
 def _replaced(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.RecordBatch:
@@ -208,8 +226,13 @@ def _replaced(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.Record
                                       names=[*(batch.schema.names[k] for k in kept), column])
 
 
-def encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """`docs` with the token ids of each whole text in `ids` (a column of that name is replaced).
+def _decoded(ids: np.ndarray, token: dict[int, bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, ids.tolist()))
+
+
+def encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """`docs` with the token ids of each whole text in `ids`, and the bytes these decode to in `decoded` if
+    that is named (columns of these names are replaced).
 
     `vocab` is the path of a rank file on the driver; its content, bounded by the vocabulary, is sent to
     the workers.  Each match of `pattern` is encoded separately, without special tokens.  Null and empty
@@ -218,7 +241,8 @@ def encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ids: s
     file = docs.sparkSession.sparkContext.broadcast(Path(vocab).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(file.value, pattern)
+        encoder = Encoder(_vocabulary(file.value), pattern)        # what it keeps goes with the task
+        token = _tokens(file.value) if decoded else {}
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
@@ -229,11 +253,16 @@ def encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ids: s
                     if k + 1 == len(coded) or held + len(coded[k + 1]) // 4 > TOKENS:
                         some = coded[first:k + 1]
                         ends = np.cumsum([0, *(len(x) // 4 for x in some)]).astype(np.int32)
-                        flat = pa.array(np.frombuffer(b"".join(some), dtype="<i4"))
-                        yield _replaced(batch.slice(first, k + 1 - first), ids, pa.ListArray.from_arrays(ends, flat))
+                        flat = np.frombuffer(b"".join(some), dtype="<i4")
+                        out = _replaced(batch.slice(first, k + 1 - first), ids, pa.ListArray.from_arrays(ends, pa.array(flat)))
+                        if decoded:
+                            back = [_decoded(flat[s:e], token) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                            out = _replaced(out, decoded, pa.array(back, type=pa.binary()))
+                        yield out
                         first, held = k + 1, 0
 
-    return docs.mapInArrow(run, _with(docs, ids, T.ArrayType(T.IntegerType())))
+    kind = _with(docs.schema, ids, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, _with(kind, decoded, T.BinaryType()) if decoded else kind)
 
 
 def decode(coded: DataFrame, vocab: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -242,14 +271,14 @@ def decode(coded: DataFrame, vocab: str, ids: str = "token_ids", out: str = "dec
     file = coded.sparkSession.sparkContext.broadcast(Path(vocab).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(file.value).token.__getitem__
-        for batch in batches:
-            column = batch.column(ids)
-            values = [None if x is None else b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist()))
-                      if len(x.values) else b"" for x in (c if c.is_valid else None for c in column)]
-            yield _replaced(batch, out, pa.array(values, type=pa.binary()))
-
-    return coded.mapInArrow(run, _with(coded, out, T.BinaryType()))
+        token = _tokens(file.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                values = [_decoded(c.values.to_numpy(zero_copy_only=False), token) if c.is_valid else None for c in batch.column(ids)]
+                yield _replaced(batch, out, pa.array(values, type=pa.binary()))
+
+    return coded.mapInArrow(run, _with(coded.schema, out, T.BinaryType()))
 
 
 def ids_text(ids: Column) -> Column:

@@ -26,9 +26,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, public_tokenizers.PATTERN)
-    decoded = bpe.decode(coded.select("doc_id", "token_ids"), vocab)
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                           F.sha2(bpe.ids_text(F.col("token_ids")), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
