@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Limits of the first pass: link density, lengths in characters, stop word densities.
 LINKS, SHORT, LONG = 0.3, 70, 200
@@ -230,12 +231,10 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     """
     rest = [f for f in pages.schema.fields if f.name not in (html, text)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = b[[f.name for f in rest]].copy()
-            out[text] = [main_text(h) for h in b[html]]
-            yield out
+            texts = pa.array([main_text(h) for h in b.column(len(rest)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(rest)], texts], names=[*(f.name for f in rest), text])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{text}` string"])
     columns = [F.col(f"`{f.name}`") for f in rest] + [F.col(f"`{html}`")]
-    return pages.select(*columns).mapInPandas(run, kinds)
+    return pages.select(*columns).mapInArrow(run, T.StructType([*rest, T.StructField(text, T.StringType())]))

@@ -16,7 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +155,10 @@ def _runs(n_words: list[int], least: int) -> Iterator[tuple[int, int]]:
         held -= n
 
 
+def _span(*names: str) -> pa.DataType:
+    return pa.list_(pa.struct([(n, pa.int32()) for n in names]))
+
+
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """(key, pos, hash, words) arrays per document: its lines that hold a word, in order."""
     line = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
@@ -199,25 +203,24 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     sides = pairs.join(some.select(F.col("key").alias("first"), F.col("hash").alias("a")), "first").join(
         some.select(F.col("key").alias("later"), F.col("hash").alias("b"), "words", "pos"), "later")
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = []
-            for a, b, words, pos in zip(batch["a"], batch["b"], batch["words"], batch["pos"], strict=True):
-                found = common_blocks(list(a), list(b), list(words), least)
-                cuts.append([{"start": int(pos[s]), "end": int(pos[e - 1]) + 1} for s, e in found])
-            yield pd.DataFrame({"id": batch["id"], "hash": batch["hash"], "cuts": cuts})
+            for a, b, words, pos in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                cuts.append([{"start": pos[s], "end": pos[e - 1] + 1} for s, e in common_blocks(a, b, words, least)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cuts, _span("start", "end"))], names=["id", "hash", "cuts"])
 
     kind = docs.schema[id].dataType.simpleString()
-    found = sides.select("later.id", "later.hash", "a", "b", "words", "pos").mapInPandas(
+    found = sides.select("later.id", "later.hash", "a", "b", "words", "pos").mapInArrow(
         align, f"id {kind}, hash bigint, cuts array<struct<start:int,end:int>>")
     # a document meets at most one partner a key, so its cuts are bounded by its lines
     cuts = found.where(F.size("cuts") > 0).groupBy("id", "hash").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("cuts"))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged, kept = [], []
-            for some, n in zip(batch["cuts"], batch["n_lines"], strict=True):
+            for some, n in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 spans: list[list[int]] = []
                 for c in some:
                     if spans and c["start"] <= spans[-1][1]:
@@ -228,10 +231,11 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
                 starts = [*(s for s, _ in spans), n]
                 merged.append([{"start": s, "end": e} for s, e in spans])
                 kept.append([{"start": e, "n": s - e} for e, s in zip(ends, starts, strict=True) if s > e])
-            yield pd.DataFrame({"id": batch["id"], "hash": batch["hash"], "cuts": merged, "kept": kept})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(merged, _span("start", "end")), pa.array(kept, _span("start", "n"))],
+                                             names=["id", "hash", "cuts", "kept"])
 
     sized = cuts.withColumn("key", F.struct("id", "hash")).join(lines.select("key", "n_lines"), "key")
-    final = written(sized.select("id", "hash", "cuts", "n_lines").mapInPandas(
+    final = written(sized.select("id", "hash", "cuts", "n_lines").mapInArrow(
         merge, f"id {kind}, hash bigint, cuts array<struct<start:int,end:int>>, kept array<struct<start:int,n:int>>"), "line-cuts")
     # the cuts grow with the documents, so they are dealt by key at any size and not broadcast while small
     spans = final.select(F.struct("id", "hash").alias("key"), "cuts", "kept").hint("shuffle_hash")

@@ -4,7 +4,7 @@ Regular expressions propose candidate spans.  Labelers - strict patterns, gazett
 context - vote for or against each candidate or abstain.  Votes are counted by pattern (a table bounded
 by the number of vote patterns, not by the corpus), expectation-maximisation estimates how reliable each
 labeler is and what each pattern means, and a logistic classifier trained on those beliefs decides the
-spans from features that include how often a labeler that abstained would have spoken.
+spans.
 
 Spans of the strict patterns always stay; the classifier adds to them.
 """
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,10 @@ ISSUER = re.compile(r"3[47]|4|5[1-5]|2[2-7]|6(?:011|5)|35")
 
 Span = tuple[str, int, int]
 
+_PLACE = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("strict", pa.bool_())]
+CANDIDATES = pa.list_(pa.struct([*_PLACE, ("votes", pa.int32())]))
+SPANS = pa.list_(pa.struct([*_PLACE, ("belief", pa.float64())]))
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -149,14 +154,14 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, int]]:
 
 def extract(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, cands): the candidates of each whole text; none for null and empty ones."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "cands": [
-                [{"kind": k, "start": s, "end": e, "strict": sure, "votes": v} for k, s, e, sure, v in candidates(t)]
-                for t in b["text"]]})
+            found = [[{"kind": k, "start": s, "end": e, "strict": sure, "votes": v} for k, s, e, sure, v in candidates(t)]
+                     for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, CANDIDATES)], names=["id", "cands"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(
         run, f"id {kind}, cands array<struct<kind:string,start:int,end:int,strict:boolean,votes:int>>")
 
 
@@ -221,18 +226,18 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text", belief: float
     beliefs = estimate(patterns.sort_values(["kind", "votes"]))
     known = {(k, int(v)): float(b) for k, v, b in beliefs.itertuples(index=False)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = []
-            for some in b["cands"]:
+            for some in b.column(1).to_pylist():
                 rated = [{"kind": c["kind"], "start": c["start"], "end": c["end"], "strict": c["strict"],
                           "belief": known[c["kind"], int(c["votes"])]} for c in some]
                 spans.append(sorted((c for c in rated if c["strict"] or c["belief"] >= belief),
                                     key=lambda c: (KINDS.index(c["kind"]), c["start"])))
-            yield pd.DataFrame({id: b["id"], "spans": spans})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPANS)], names=[id, "spans"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return cands.mapInPandas(run, f"`{id}` {kind}, spans array<struct<kind:string,start:int,end:int,strict:boolean,belief:double>>")
+    return cands.mapInArrow(run, f"`{id}` {kind}, spans array<struct<kind:string,start:int,end:int,strict:boolean,belief:double>>")
 
 
 def joined(spans: Column) -> Column:
