@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuwatch.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
@@ -14,15 +14,26 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the rules keep, without the lines that fail them."""
-    kept = quality_rules.measures(docs).where("q_kept")
-    return _documents(kept.withColumn("text", F.col("q_text")), docs)
+    """Documents the rules keep, without the lines that fail them.
+
+    Null and empty texts fail and go; repeated rows are judged each for itself; an empty table stays empty.
+    Other columns pass through, whatever their names.
+    """
+    judged = quality_rules.measures(docs.select(pack(docs), "text"))
+    # a filter below the verdict would have every line judged twice; it does not pass a column like this
+    judged = judged.withColumn("here", F.spark_partition_id()).where("q_kept")
+    return _documents(judged, docs, F.col("q_text"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the blocks of lines that an earlier document has; documents left without a word go."""
-    cut = line_dedup.dedup_lines(docs).where((F.col("n_cut") == 0) | (F.translate("text", BLANKS, "") != ""))
-    return _documents(cut, docs)
+    """Texts without the blocks of lines that an earlier document has; documents left without a word go.
+
+    Order is by id, nulls first.  Texts without a word (null and empty ones among them) lose nothing and stay;
+    rows equal in id and text are one document, cut alike; an empty table stays empty.  Other columns pass
+    through, whatever their names.
+    """
+    cut = line_dedup.dedup_lines(docs.select(pack(docs), "doc_id", "text"))
+    return _documents(cut.where((F.col("n_cut") == 0) | (F.translate("text", BLANKS, "") != "")), docs, F.col("text"))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,24 +59,35 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    """Documents as often as the mix of sources takes them, up to three times.
+
+    A null source is a source; null and empty texts are taken once; repeated rows count each for itself; an
+    empty table stays empty.  Other columns pass through, whatever their names.
+    """
+    mixed = mixing.mix(docs.select(pack(docs), "doc_id", "source", "text"))
+    return unpack(mixing.repeated(mixed, ["row"]), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids per document, and whether they decode to its text."""
+    """Token ids per document, and whether they decode to its text.
+
+    Null and empty texts have no ids; repeated rows are encoded each for itself; an empty table gives an
+    empty result.  Other columns than doc_id, lang and source are not carried.
+    """
     import public_tokenizers
 
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, vocab, public_tokenizers.PATTERN), vocab)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocab, public_tokenizers.PATTERN, decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
                         (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
 
 
-def _documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of documents, with n_chars (where there is one) following the text."""
-    out = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else df
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _documents(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The packed columns of documents with a new text, n_chars (where there is one) following it."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unpack(df, docs, **new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", copies),
