@@ -176,6 +176,13 @@ class Book:
             F.lit(None).cast("bigint").alias("divergence_bps"), F.lit(None).cast("string").alias("actor_role"))
         return own.unionByName(answers)
 
+    @property
+    def answers(self) -> DataFrame:
+        """What answered each source event, reduced to a row an event once for all rules."""
+        from .operators.rules import first_responses
+
+        return self.once("answers", lambda: first_responses(self))
+
     @property
     def controls(self) -> DataFrame:
         """All rules at the book's clock."""

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import fields, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bounded_rows
 from ..model import PARAM_NAMES, SLA_IN_PARAMS, Book, Clocked, Rule
-from .rules import BRANCHES
+from .steps import policy_sweep  # noqa: F401  (part of the policy operators)
 
 MAX_OVERLAYS = 2000
 _FIELD = {public: name for name, public in PARAM_NAMES.items()}
@@ -94,7 +93,7 @@ def policy_fingerprint(policies: DataFrame, scene: str, lang: str) -> DataFrame:
 
 
 def variants_of(b: Book, overlays: DataFrame) -> tuple[Clocked, ...]:
-    """Overlay rows as rule sets.  Overlays are control rows; more than a few thousand is an error."""
+    """Overlay rows as rule sets on the driver, for a few variants at hand; a sweep takes the rows themselves."""
     sets: dict[str, dict[str, Rule]] = {}
     kinds = {f.name: str(f.type) for f in fields(Rule)}
     for row in bounded_rows(overlays, MAX_OVERLAYS, "policy overlays"):
@@ -104,26 +103,3 @@ def variants_of(b: Book, overlays: DataFrame) -> tuple[Clocked, ...]:
                  int(row.value) if kinds[name].startswith("int") else float(row.value))
         rules[row.rule_id] = replace(rules[row.rule_id], **{name: value})
     return tuple(Clocked(v, b.as_of, tuple(rules.values())) for v, rules in sorted(sets.items()))
-
-
-def policy_sweep(b: Book, variants: tuple[Clocked, ...]) -> DataFrame:
-    """Outcome counts of every variant over the whole population.
-
-    Each distinct version of a rule is evaluated once; variants sharing it share its counts.
-    """
-    parts, owners = [], []
-    for rule_id, branches in BRANCHES.items():
-        versions: dict[Rule, str] = {}
-        for v in variants:
-            r = v.rule(rule_id)
-            if r is not None:
-                key = versions.setdefault(r, f"{rule_id}#{len(versions)}")
-                owners.append((v.variant_id, key))
-        contexts = tuple(Clocked(key, b.as_of, (r,)) for r, key in versions.items())
-        parts += [p.select("variant_id", "rule_id", "status") for f in branches
-                  if contexts and (p := f(b, contexts)) is not None]
-    counts = (reduce(DataFrame.unionByName, parts).groupBy("variant_id", "rule_id", "status")
-              .agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("variant_id", "version"))
-    owned = b.spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(v).alias("variant_id"), F.lit(k).alias("version")) for v, k in owners])))
-    return counts.join(owned, "version").select("variant_id", "rule_id", "status", "n")

@@ -5,9 +5,10 @@ Every branch is built the same way:
 * the answers of a trigger are reduced before they meet it (`first_responses`: one row per source
   event, map-side combined), or found by an as-of join when they belong to the position;
 * neither depends on the clock or on a threshold.  Because the answer kept is the *earliest* one,
-  "some answer by the deadline" equals "the earliest answer is by the deadline", so the status is
-  a projection over (facts x rule values) and many clocks or rule variants share one pass.
+  "some answer by the deadline" equals "the earliest answer is by the deadline", so a branch is a
+  table of facts (`settle`) and its status at a clock is a projection (`seen`).
 
+Many clocks and many rule variants do not evaluate facts many times: see `steps`.
 Rule values are literals: a rule set is a ten-row control table, held on the driver as `Rule`s.
 """
 
@@ -71,6 +72,36 @@ def _none(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def settle(rows: DataFrame, appears: Column | None, final: Column | None = None, final_from: Column | None = None,
+           pending_until: Column | None = None) -> DataFrame:
+    """Facts whose status follows from four columns, whatever the clock.
+
+    A fact is there from `appears` (null: always).  It has its `final` status, if any, from `final_from`
+    (null: from the start), and before that it is pending until `pending_until` and missed from then on.
+    """
+    return rows.select("*", (_none("timestamp_ntz") if appears is None else appears).alias("appears"),
+                       (_none("string") if final is None else final).alias("final"),
+                       (_none("timestamp_ntz") if final_from is None else final_from).alias("final_from"),
+                       (_none("timestamp_ntz") if pending_until is None else pending_until).alias("pending_until"))
+
+
+def status_at(clock: Column) -> Column:
+    """Status of a settled fact at a clock."""
+    known = F.col("final").isNotNull() & (F.col("final_from").isNull() | (F.col("final_from") <= clock))
+    return F.when(known, F.col("final")).when(F.col("pending_until") > clock, "PENDING").otherwise("MISSED")
+
+
+def seen(facts: DataFrame) -> DataFrame:
+    """Settled facts at the clock of their context; an answer shows once the clock has reached it."""
+    known = F.col("final_from").isNull() | (F.col("final_from") <= F.col("as_of"))
+    here = facts.where("appears is null or appears <= as_of").withColumn("status", status_at(F.col("as_of")))
+    return shape(here.withColumns({c: F.when(known, F.col(c)) for c in ("observed_event_id", "observed_at")}))
+
+
+def _unobserved(rows: DataFrame) -> DataFrame:
+    return rows.select("*", _none("string").alias("observed_event_id"), _none("timestamp_ntz").alias("observed_at"))
+
+
 def first_responses(b: Book) -> DataFrame:
     """One row per source event: its earliest approval and escalation, and what evidence exists."""
     of_event = ~F.col("of_position")
@@ -90,7 +121,7 @@ def _triggers(b: Book, label: str, *cols: str) -> DataFrame:
 
 
 def _answered(b: Book, triggers: DataFrame) -> DataFrame:
-    return triggers.join(first_responses(b), F.col("trigger_event_id") == F.col("source_event_id"), "left").drop(
+    return triggers.join(b.answers, F.col("trigger_event_id") == F.col("source_event_id"), "left").drop(
         "source_event_id")
 
 
@@ -98,60 +129,52 @@ def _effective() -> Column:
     return F.coalesce("effective_at", "event_at")
 
 
-def rule_r1(b: Book, contexts) -> DataFrame | None:
+def facts_r1(b: Book, contexts) -> DataFrame | None:
     changes = _answered(b, _triggers(b, "MethodologyChange", _effective().alias("due_by")))
     rows = with_rule(changes, "R1", contexts)
     if rows is None:
         return None
-    status = (F.when(F.col("approval.at") <= F.col("due_by"), "MET")
-              .when(F.col("approval").isNotNull(), "LATE").otherwise("MISSED"))
-    return shape(rows.where("trigger_at <= as_of").select(
-        "*", F.col("approval.id").alias("observed_event_id"), F.col("approval.at").alias("observed_at"),
-        status.alias("status")))
+    rows = rows.select("*", F.col("approval.id").alias("observed_event_id"), F.col("approval.at").alias("observed_at"))
+    return settle(rows, F.col("trigger_at"),
+                  F.when(F.col("approval.at") <= F.col("due_by"), "MET").when(F.col("approval").isNotNull(), "LATE"))
 
 
-def _timed(rows: DataFrame, seen_at: Column) -> Column:
-    """Status of an answer searched up to the clock, with a deadline."""
-    return (F.when(seen_at <= F.col("due_by"), "MET").when(seen_at.isNotNull(), "LATE")
-            .when(F.col("due_by") > F.col("as_of"), "PENDING").otherwise("MISSED"))
+def _searched(rows: DataFrame) -> DataFrame:
+    """Facts answered by a search with a deadline; the answer counts from when it was given."""
+    rows = rows.select("*", F.col("found_id").alias("observed_event_id"), F.col("found_at").alias("observed_at"))
+    final = F.when(F.col("found_at") <= F.col("due_by"), "MET").when(F.col("found_at").isNotNull(), "LATE")
+    return settle(rows, F.col("trigger_at"), final, F.col("found_at"), F.col("due_by"))
 
 
-def _with_observed(rows: DataFrame) -> DataFrame:
-    """Keep the found answer only if the clock has reached it."""
-    known = F.col("found_at") <= F.col("as_of")
-    rows = rows.select("*", F.when(known, F.col("found_id")).alias("observed_event_id"),
-                       F.when(known, F.col("found_at")).alias("observed_at"))
-    return shape(rows.withColumn("status", _timed(rows, F.col("observed_at"))))
-
-
-def rule_r2(b: Book, contexts) -> DataFrame | None:
+def changes_reviewed(b: Book) -> DataFrame:
+    """Methodology changes with the first review of the position after they took effect."""
     changes = _triggers(b, "MethodologyChange", _effective().alias("eff"))
     reviews = b.event.where("label = 'IPVReview'").select("position_id", "event_id", "event_at")
-    found = asof(changes, reviews, ["position_id"], "eff", "event_at",
-                 {"found_at": "event_at", "found_id": "event_id"}, forward=True, inclusive=False, ties=["event_id"])
-    rows = with_rule(found, "R2", contexts, sla="sla_days")
-    if rows is None:
-        return None
-    return _with_observed(rows.where("trigger_at <= as_of").withColumn("due_by", F.col("eff") + days(F.col("sla"))))
+    return asof(changes, reviews, ["position_id"], "eff", "event_at",
+                {"found_at": "event_at", "found_id": "event_id"}, forward=True, inclusive=False, ties=["event_id"])
+
+
+def facts_r2(b: Book, contexts) -> DataFrame | None:
+    rows = with_rule(changes_reviewed(b), "R2", contexts, sla="sla_days")
+    return None if rows is None else _searched(rows.withColumn("due_by", F.col("eff") + days(F.col("sla"))))
 
 
-def rule_r3(b: Book, contexts) -> DataFrame | None:
-    overrides = _answered(b, _triggers(b, "PriceOverride", "deviation_bps", "pct_of_bid_ask"))
-    rows = with_rule(overrides, "R3", contexts, sla="sla_days", bps="threshold_bps", pct="pct_of_bid_ask")
+def overrides_answered(b: Book) -> DataFrame:
+    return _answered(b, _triggers(b, "PriceOverride", "deviation_bps", "pct_of_bid_ask"))
+
+
+def facts_r3(b: Book, contexts) -> DataFrame | None:
+    rows = with_rule(overrides_answered(b), "R3", contexts, sla="sla_days", bps="threshold_bps", pct="pct_of_bid_ask")
     if rows is None:
         return None
     beyond = (F.col("deviation_bps") > F.col("bps")) | (
         F.coalesce("pct_of_bid_ask", F.lit(0)) > F.col("pct"))
+    rows = rows.where(beyond).withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))).select(
+        "*", F.col("approval.id").alias("observed_event_id"), F.col("approval.at").alias("observed_at"))
     challenged = F.coalesce("challenged", F.lit(False))
-    status = (F.when((F.col("approval.at") <= F.col("due_by")) & challenged, "MET")
-              .when(F.col("approval").isNotNull() & challenged, "LATE")
-              .when((F.col("due_by") > F.col("as_of")) & challenged, "PENDING").otherwise("MISSED"))
-    return shape(rows.where(beyond & F.expr("trigger_at <= as_of"))
-                 .withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
-                 .select("*", F.col("approval.id").alias("observed_event_id"),
-                         F.col("approval.at").alias("observed_at"), status.alias("status")))
-
-
+    final = (F.when((F.col("approval.at") <= F.col("due_by")) & challenged, "MET")
+             .when(F.col("approval").isNotNull() & challenged, "LATE"))
+    return settle(rows, F.col("trigger_at"), final, pending_until=F.when(challenged, F.col("due_by")))
 
 
 def _escalations(b: Book) -> DataFrame:
@@ -161,7 +184,11 @@ def _escalations(b: Book) -> DataFrame:
     ).select("position_id", F.col("event_at").alias("esc_at"))
 
 
-def rule_r4(b: Book, contexts) -> DataFrame | None:
+def recurring(b: Book, contexts) -> DataFrame | None:
+    """Overrides that are the n-th inside the window, with the first escalation from the window's start.
+
+    Neither depends on the clock or on the days allowed.
+    """
     overrides = with_rule(_triggers(b, "PriceOverride"), "R4", contexts, sla="sla_days", need="n", window="window_days")
     if overrides is None:
         return None
@@ -171,7 +198,7 @@ def rule_r4(b: Book, contexts) -> DataFrame | None:
     ctx = ["variant_id", "as_of"]
     counted = overrides.select("position_id", *ctx, F.col("trigger_at").alias("t"), F.lit(0).alias("side"),
                                F.lit(1).alias("k"), "trigger_event_id")
-    openings = overrides.where("trigger_at <= as_of").select(
+    openings = overrides.select(
         "*", (F.col("trigger_at") - days(F.col("window"))).alias("t"), F.lit(1).alias("side"), F.lit(0).alias("k"))
     escalations = with_rule(_escalations(b), "R4", contexts).select(
         "position_id", *ctx, F.col("esc_at").alias("t"), F.lit(2).alias("side"), F.lit(0).alias("k"), "esc_at")
@@ -179,15 +206,22 @@ def rule_r4(b: Book, contexts) -> DataFrame | None:
     rows = scan(rows, ["position_id", *ctx], ["t", "side"], sums={"upto": "k"}, first={"next_esc": "esc_at"})
     trigger = ["trigger_at", "trigger_label", "sla", "need", "rule_id", "rule_name", "severity", "expected_control",
                "required_by_role"]
-    rows = (rows.where("side < 2").groupBy("position_id", *ctx, "trigger_event_id")
+    return (rows.where("side < 2").groupBy("position_id", *ctx, "trigger_event_id")
             .agg(*[F.max(c).alias(c) for c in trigger],
                  F.max(F.when(F.col("side") == 0, F.col("upto"))).alias("now"),
                  F.max(F.when(F.col("side") == 1, F.col("upto"))).alias("before"),
                  F.max(F.when(F.col("side") == 1, F.col("next_esc"))).alias("next_esc"))
             .where("now - before >= need")
-            .withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))).withColumn(
-                "status", F.when(F.col("next_esc") <= F.col("due_by"), "MET")
-                .when(F.col("due_by") > F.col("as_of"), "PENDING").otherwise("MISSED")))
+            .withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))))
+
+
+def rule_r4(b: Book, contexts) -> DataFrame | None:
+    rows = recurring(b, contexts)
+    if rows is None:
+        return None
+    rows = rows.where("trigger_at <= as_of").withColumn(
+        "status", F.when(F.col("next_esc") <= F.col("due_by"), "MET")
+        .when(F.col("due_by") > F.col("as_of"), "PENDING").otherwise("MISSED"))
     # one row per position: the first missed one, else the first one
     pick = F.min(F.struct((F.col("status") != "MISSED").alias("rank"), F.col("trigger_at").alias("at"),
                           F.col("trigger_event_id").alias("id"), F.col("due_by").alias("due"),
@@ -200,36 +234,40 @@ def rule_r4(b: Book, contexts) -> DataFrame | None:
         _none("timestamp_ntz").alias("observed_at"), F.col("x.st").alias("status")))
 
 
-def rule_r5(b: Book, contexts) -> DataFrame | None:
-    reviews = _answered(b, _triggers(b, "IPVReview", "divergence_bps"))
-    rows = with_rule(reviews, "R5", contexts, sla="sla_days", bps="divergence_bps")
+def reviews_answered(b: Book) -> DataFrame:
+    return _answered(b, _triggers(b, "IPVReview", "divergence_bps"))
+
+
+def facts_r5(b: Book, contexts) -> DataFrame | None:
+    rows = with_rule(reviews_answered(b), "R5", contexts, sla="sla_days", bps="divergence_bps")
     if rows is None:
         return None
+    rows = rows.where("divergence_bps > bps").withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
     resolved = (F.coalesce(F.col("escalated_at") <= F.col("due_by"), F.lit(False))
                 | F.coalesce("adjusted", F.lit(False)) | F.coalesce("challenged", F.lit(False)))
-    return _resolved(rows.where("divergence_bps > bps and trigger_at <= as_of"), resolved)
+    return _resolved(rows, F.col("trigger_at"), resolved)
 
 
-def _resolved(rows: DataFrame, resolved: Column) -> DataFrame:
-    if "due_by" not in rows.columns:
-        rows = rows.withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
-    return shape(rows.select(
-        "*", _none("string").alias("observed_event_id"), _none("timestamp_ntz").alias("observed_at"),
-        F.when(resolved, "MET").when(F.col("due_by") > F.col("as_of"), "PENDING").otherwise("MISSED").alias("status")))
+def _resolved(rows: DataFrame, appears: Column | None, resolved: Column) -> DataFrame:
+    """Facts that are met from the start if resolved, and pending until they are due otherwise."""
+    return settle(_unobserved(rows), appears, F.when(resolved, "MET"), pending_until=F.col("due_by"))
 
 
-def rule_r6(b: Book, contexts) -> DataFrame | None:
+def signals_controlled(b: Book) -> DataFrame:
+    """P&L signals with the first attribution control of the position from them on."""
     signals = _triggers(b, "PnLSignal", "unexplained_pct", "consecutive_days")
     controls = b.event.where("label = 'Control' and kind = 'attribution'").select("position_id", "event_id", "event_at")
-    found = asof(signals, controls, ["position_id"], "trigger_at", "event_at",
-                 {"found_at": "event_at", "found_id": "event_id"}, forward=True, inclusive=True, ties=["event_id"])
-    rows = with_rule(found, "R6", contexts, sla="sla_days", pct="unexplained_threshold", run="consecutive_days")
+    return asof(signals, controls, ["position_id"], "trigger_at", "event_at",
+                {"found_at": "event_at", "found_id": "event_id"}, forward=True, inclusive=True, ties=["event_id"])
+
+
+def facts_r6(b: Book, contexts) -> DataFrame | None:
+    rows = with_rule(signals_controlled(b), "R6", contexts, sla="sla_days", pct="unexplained_threshold", run="consecutive_days")
     if rows is None:
         return None
     persistent = ((F.coalesce("unexplained_pct", F.lit(0.0)) >= F.col("pct"))
                   & (F.coalesce("consecutive_days", F.lit(0)) >= F.col("run")))
-    return _with_observed(rows.where(persistent & F.expr("trigger_at <= as_of")).withColumn(
-        "due_by", F.col("trigger_at") + days(F.col("sla"))))
+    return _searched(rows.where(persistent).withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))))
 
 
 def _in_scope(b: Book, contexts, **values: str) -> DataFrame | None:
@@ -263,23 +301,27 @@ def rule_r7a(b: Book, contexts) -> DataFrame | None:
         F.when(F.col("seen").isNotNull(), "MET").otherwise("MISSED").alias("status")))
 
 
-def rule_r7b(b: Book, contexts) -> DataFrame | None:
-    scope = _in_scope(b, contexts, sla="regime_sla_days")
-    if scope is None or not b.regime_breaks:
-        return None
+def breaks_reviewed(b: Book, scope: DataFrame) -> DataFrame:
+    """Positions of `scope` open at a regime break, with their first review after it."""
     breaks = F.array(*[F.struct(F.lit(i).alias("trigger_event_id"), ts(at).alias("trigger_at"))
                        for i, at in b.regime_breaks])
     at_break = scope.select("*", F.inline(breaks)).where(
-        "trigger_at <= as_of and opened_at <= trigger_at and (valid_to is null or valid_to > trigger_at)")
+        "opened_at <= trigger_at and (valid_to is null or valid_to > trigger_at)")
     reviews = b.event.where("label = 'MAPReview'").select("position_id", "event_at")
-    rows = asof(at_break, reviews, ["position_id"], "trigger_at", "event_at", {"reviewed_at": "event_at"},
+    return asof(at_break, reviews, ["position_id"], "trigger_at", "event_at", {"reviewed_at": "event_at"},
                 forward=True, inclusive=False)
-    rows = rows.withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))).withColumn(
+
+
+def facts_r7b(b: Book, contexts) -> DataFrame | None:
+    scope = _in_scope(b, contexts, sla="regime_sla_days")
+    if scope is None or not b.regime_breaks:
+        return None
+    rows = breaks_reviewed(b, scope).withColumn("due_by", F.col("trigger_at") + days(F.col("sla"))).withColumn(
         "trigger_label", F.lit("RegimeBreak"))
-    return _resolved(rows, F.col("reviewed_at") <= F.col("due_by"))
+    return _resolved(rows, F.col("trigger_at"), F.col("reviewed_at") <= F.col("due_by"))
 
 
-def rule_r8(b: Book, contexts) -> DataFrame | None:
+def facts_r8(b: Book, contexts) -> DataFrame | None:
     approvals = b.response.where("kind = 'Approval'").select(
         "position_id", F.col("source_event_id").alias("trigger_event_id"), F.col("source_label").alias("trigger_label"),
         F.col("response_id").alias("observed_event_id"), F.col("event_at").alias("observed_at"), "person_id")
@@ -292,11 +334,10 @@ def rule_r8(b: Book, contexts) -> DataFrame | None:
     rows = with_rule(paths, "R8", contexts, allowed="same_desk_allowed")
     if rows is None:
         return None
-    return shape(rows.where("allowed = false and observed_at <= as_of").select(
-        "*", F.col("observed_at").alias("due_by"), F.lit("MISSED").alias("status")))
+    return settle(rows.where("allowed = false").withColumn("due_by", F.col("observed_at")), F.col("observed_at"))
 
 
-def rule_r9(b: Book, contexts) -> DataFrame | None:
+def facts_r9(b: Book, contexts) -> DataFrame | None:
     """Approvals and escalations one or two edges away from the position, without evidence.
 
     Two edges lead to an answer of one of the position's events, one edge to an escalation of the
@@ -308,17 +349,12 @@ def rule_r9(b: Book, contexts) -> DataFrame | None:
     rows = with_rule(nodes, "R9", contexts)
     if rows is None:
         return None
-    return shape(rows.where("trigger_at <= as_of").select(
-        "*", F.col("trigger_at").alias("due_by"), _none("string").alias("observed_event_id"),
-        _none("timestamp_ntz").alias("observed_at"), F.lit("MISSED").alias("status")))
+    return settle(_unobserved(rows.withColumn("due_by", F.col("trigger_at"))), F.col("trigger_at"))
 
 
-def rule_r10(b: Book, contexts) -> DataFrame | None:
-    signals = _triggers(b, "DecorrelationSignal")
-    rows = with_rule(signals, "R10", contexts, sla="sla_days")
-    if rows is None:
-        return None
-    answers = first_responses(b)
+def signals_addressed(b: Book) -> DataFrame:
+    """Decorrelation signals with the nearest approved changes before and after, and the first addressing review."""
+    answers = b.answers
     acts = (b.event.where("label in ('MethodologyChange', 'IPVReview')")
             .join(answers, F.col("event_id") == F.col("source_event_id"), "left"))
     is_change = F.col("label") == "MethodologyChange"
@@ -328,17 +364,40 @@ def rule_r10(b: Book, contexts) -> DataFrame | None:
     acts = acts.where(approved | addressed).select(
         "position_id", F.when(is_change, "change").otherwise("review").alias("act"),
         F.when(is_change, _effective()).otherwise(F.col("event_at")).alias("act_at"))
-    # two searches per signal, told apart by the kind of act: changes from before it, reviews from it
-    rows = rows.where("trigger_at <= as_of").withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
-    probes = rows.select("*", F.inline(F.array(
-        F.struct(F.lit("change").alias("act"), (F.col("trigger_at") - days(F.col("sla"))).alias("opens")),
-        F.struct(F.lit("review").alias("act"), F.col("trigger_at").alias("opens")))))
-    found = asof(probes, acts, ["position_id", "act"], "opens", "act_at", {"act_at": "act_at"},
-                 forward=True, inclusive=True)
-    met = F.bool_or(F.coalesce(F.col("act_at") <= F.col("due_by"), F.lit(False)))
-    return _resolved(found.groupBy(*rows.columns).agg(met.alias("met")), F.col("met"))
+    # one ordered pass: acts stand before a signal of their instant to be found backward, after it to be found forward
+    signals = _triggers(b, "DecorrelationSignal").withColumns({"t": F.col("trigger_at"), "side": F.lit(1)})
+    change = F.col("act") == "change"
+    placed = acts.select("position_id", F.col("act_at").alias("t"), "act", "act_at", F.explode(F.array(F.lit(0), F.lit(2))).alias("side")).select(
+        "position_id", "t", "side", F.when(change & (F.col("side") == 0), F.col("act_at")).alias("before"),
+        F.when(change & (F.col("side") == 2), F.col("act_at")).alias("after"),
+        F.when(~change & (F.col("side") == 2), F.col("act_at")).alias("review"))
+    found = scan(signals.unionByName(placed, allowMissingColumns=True), ["position_id"], ["t", "side"],
+                 last={"changed_before": "before"}, first={"changed_after": "after", "reviewed_after": "review"})
+    return found.where("side = 1").drop("t", "side", "before", "after", "review")
+
+
+def facts_r10(b: Book, contexts) -> DataFrame | None:
+    rows = with_rule(signals_addressed(b), "R10", contexts, sla="sla_days")
+    if rows is None:
+        return None
+    rows = rows.withColumn("due_by", F.col("trigger_at") + days(F.col("sla")))
+    met = [F.coalesce(c, F.lit(False)) for c in (
+        F.col("changed_before") >= F.col("trigger_at") - days(F.col("sla")),
+        F.col("changed_after") <= F.col("due_by"), F.col("reviewed_after") <= F.col("due_by"))]
+    return _resolved(rows, F.col("trigger_at"), met[0] | met[1] | met[2])
 
 
+def _branch(facts):
+    def rule(b: Book, contexts) -> DataFrame | None:
+        rows = facts(b, contexts)
+        return None if rows is None else seen(rows)
+
+    return rule
+
+
+rule_r1, rule_r2, rule_r3, rule_r5, rule_r6, rule_r7b, rule_r8, rule_r9, rule_r10 = map(
+    _branch, (facts_r1, facts_r2, facts_r3, facts_r5, facts_r6, facts_r7b, facts_r8, facts_r9, facts_r10))
+
 BRANCHES = {
     "R1": (rule_r1,), "R2": (rule_r2,), "R3": (rule_r3,), "R4": (rule_r4,), "R5": (rule_r5,), "R6": (rule_r6,),
     "R7": (rule_r7a, rule_r7b), "R8": (rule_r8,), "R9": (rule_r9,), "R10": (rule_r10,),
@@ -397,9 +456,3 @@ def gap_summary(b: Book, controls: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES])
     return rule_table(b).join(counts, "rule_id", "left").select(
         "rule_id", "rule_name", *[F.coalesce(s.lower(), F.lit(0)).alias(s.lower()) for s in STATUSES])
-
-
-def early_detection(b: Book, clocks: list[str]) -> DataFrame:
-    """The same population seen at several clocks, in one pass over the facts."""
-    contexts = tuple(Clocked("base", c, b.rules) for c in clocks)
-    return evaluate(b, contexts).groupBy("as_of", "rule_id", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import DEFAULT_RULES
 from ..operators import policy as P
-from ..operators.rules import early_detection
+from ..operators.steps import early_detection
 from .prelude import obligation_values, sql
 from .registry import query
 
@@ -91,7 +91,7 @@ query("policy_sweep", """
     SELECT 'DESK-' || n_nationkey, c.rule_id, c.status, c.n FROM nation, (
         SELECT rule_id, status, count(*) AS n FROM controls WHERE rule_id IN ('R1', 'R4', 'R7', 'R8', 'R9', 'R10')
         GROUP BY 1, 2) c""", obligation=_SWEEP_OBLIGATION)(
-    lambda b: P.policy_sweep(b, P.variants_of(b, desk_overlays(b))))
+    lambda b: P.policy_sweep(b, desk_overlays(b)))
 
 EARLY = " UNION ALL ".join(
     "SELECT * FROM (" + sql(f"SELECT TIMESTAMP '{c}' AS as_of, rule_id, status, count(*) AS n FROM controls GROUP BY 2, 3",
