@@ -138,11 +138,10 @@ def test_conjunction_counts_do_not_multiply(spark):
 
 
 def test_text_helpers(spark):
-    import re
-
-    terms = [(t, re.compile(rf"(?<![\w&]){re.escape(t)}(?![\w&])", re.I)) for t in ("IPV", "IPV review", "P&L", "L")]
-    assert T.tag_lines(["An ipv review, then IPV.", "P&L and IPV"], terms) == [
-        (0, "IPV review", 3, 10), (0, "IPV", 20, 3), (1, "P&L", 0, 3)]
+    terms = spark.createDataFrame([(t,) for t in ("IPV", "IPV review", "P&L", "L")], "term string")
+    said = spark.createDataFrame([(1, "An ipv review, then IPV.\nP&L and IPV")], "text_id int, text string")
+    assert sorted(tuple(r)[1:] for r in T.glossary_tag(said, terms).collect()) == [
+        (0, "IPV", 20, 3), (0, "IPV review", 3, 10), (1, "P&L", 0, 3)]
     texts = spark.createDataFrame([(1, "see PO-TP-03, POS-TP. Then PO-TP-03 and XPO-1")], "text_id int, text string")
     assert [(r.pos, r.id) for r in T.mention_ids(texts).collect()] == [(0, "PO-TP-03"), (1, "POS-TP")]
     docs = spark.createDataFrame([(1, "mc-mark, override, ipv-q1 r1 r3"), (2, "override, ipv-q1, mc-mark r1 r2"), (3, "nothing")],

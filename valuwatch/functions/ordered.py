@@ -35,9 +35,12 @@ def scan(
     sums: dict[str, str] | None = None,
     last: dict[str, str] | None = None,
     first: dict[str, str] | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """One ordered pass; `order[0]` is the timestamp, the rest break ties.
 
+    `bucket` replaces the calendar day where `order[0]` is not a time, and must not decrease along the order.
+
     sums:  output -> column, total of the column up to the row, peers of equal order included;
     last:  output -> column, latest non-null value at or before the row;
     first: output -> column, earliest non-null value at or after the row.
@@ -45,7 +48,7 @@ def scan(
     """
     sums, last, first = sums or {}, last or {}, first or {}
     same = [*on, DAY]
-    rows = rows.withColumn(DAY, day_of(F.col(order[0])))
+    rows = rows.withColumn(DAY, day_of(F.col(order[0])) if bucket is None else bucket)
     w = Window.partitionBy(*same).orderBy(*order)
     upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     peers = w.rangeBetween(Window.unboundedPreceding, 0)

@@ -61,11 +61,8 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return _quality(_both_ways(edges), labels, resolution).select(F.round("q", 6).alias("q"))
 
 
-def _round(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m: int, resolution: float, turn: int) -> DataFrame:
-    """One synchronous round of local moves: node, community, wants (whether a better place exists).
-
-    A node moves only in rounds its hash selects, so two nodes cannot swap places for ever.
-    """
+def _proposals(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m: int, resolution: float) -> DataFrame:
+    """(node, k, community, to, gain): the best move of every node that a single move would improve."""
     held = labels.join(strength, "node")
     volume = held.groupBy("community").agg(F.sum("k").alias("vol"))
     near = graph.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(
@@ -77,50 +74,123 @@ def _round(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m: int,
     best = options.withColumn("gain", gain).groupBy("node").agg(
         F.min(F.when(~own, F.struct((-F.col("gain")).alias("neg"), F.col("target").alias("to")))).alias("best"),
         F.max(F.when(own, F.col("gain"))).alias("stay"))
+    # a node without neighbours in its community has only what chance puts there
     chance_stay = -F.lit(resolution) * F.col("k") * (F.col("vol") - F.col("k")) / F.lit(float(two_m))
-    rows = held.join(volume, "community").join(best, "node", "left")
-    wants = F.coalesce(-F.col("best.neg") > F.coalesce("stay", chance_stay) + 1e-9, F.lit(False))
-    turn_of = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    return rows.select("node", F.when(wants & turn_of, F.col("best.to")).otherwise(F.col("community")).alias("community"),
-                       wants.alias("wants"))
+    rows = held.join(volume, "community").join(best, "node")
+    more = -F.col("best.neg") - F.coalesce("stay", chance_stay)
+    return rows.select("node", "k", "community", F.col("best.to").alias("to"), more.alias("gain")).where(f"gain > {LEAST_GAIN}")
+
+
+#: A move must gain more than this, in units of weight; far above the rounding of the sums it comes from.
+LEAST_GAIN = 1e-6
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_rounds: int = 12,
-            min_gain: float = 1e-6) -> DataFrame:
+def _accepted(proposals: DataFrame, two_m: int, resolution: float) -> DataFrame:
+    """(node, to): moves that can be made together without any of them losing by the others; one at least.
+
+    A community either gives or takes, whichever has its best move, so nobody joins one that others leave;
+    the best move of all is always among them.  Other moves that leave the same community or join the same
+    one cost a move at most what chance expects between their strengths; it is made if it still gains after
+    all of them, or if it is the best at both its ends and so comes first.  Made one by one, these first,
+    every move raises modularity, so the round does.
+    """
+    ranked = proposals.select("node", "k", "community", "to", "gain", F.struct("gain", F.xxhash64("node"), "node").alias("best"))
+
+    def ends(moves: DataFrame) -> DataFrame:
+        """Per community the strength that leaves and joins, and the best move of either kind."""
+        both = moves.select("k", "best", F.inline(F.array(
+            F.struct(F.col("community").alias("at"), F.lit(True).alias("out")), F.struct(F.col("to").alias("at"), F.lit(False).alias("out")))))
+        return both.groupBy("at").agg(
+            F.max(F.when(F.col("out"), F.col("best"))).alias("out"), F.max(F.when(~F.col("out"), F.col("best"))).alias("in"),
+            F.sum(F.when(F.col("out"), F.col("k"))).alias("k_out"), F.sum(F.when(~F.col("out"), F.col("k"))).alias("k_in"))
+
+    def at_ends(moves: DataFrame, table: DataFrame, out: str, into: str) -> DataFrame:
+        a = table.select(F.col("at").alias("community"), F.struct("*").alias(out))
+        z = table.select(F.col("at").alias("to"), F.struct("*").alias(into))
+        return moves.join(a, "community").join(z, "to")
+
+    takes = lambda c: c["out"].isNull() | F.coalesce(c["in"] > c["out"], F.lit(False))
+    some = at_ends(ranked, ends(ranked), "a", "z").where(~takes(F.col("a")) & takes(F.col("z"))).drop("a", "z")
+    judged = at_ends(some, ends(some), "a", "z")
+    cost = F.lit(resolution) * F.col("k") * (F.col("a.k_out") + F.col("z.k_in") - 2 * F.col("k")) / F.lit(float(two_m))
+    first = (F.col("a.out") == F.col("best")) & (F.col("z.in") == F.col("best"))
+    return judged.where(first | (F.col("gain") - cost > LEAST_GAIN)).select("node", "to")
+
+
+def _local_moves(graph: DataFrame, labels: DataFrame, two_m: int, resolution: float) -> tuple[DataFrame, bool]:
+    """Labels that no single move improves, and whether anything moved."""
+    strength = written(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength")
+    for turn in range(MAX_ROUNDS):
+        proposals = written(_proposals(graph, strength, labels, two_m, resolution), "louvain-proposals")
+        if not proposals.head(1):
+            return labels, turn > 0
+        moves = _accepted(proposals, two_m, resolution)
+        labels = written(labels.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "louvain-labels")
+    raise RuntimeError(f"local moves not settled after {MAX_ROUNDS} rounds")
+
+
+def _connected(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels in which every community is connected: parts without a link between them get names of their own.
+
+    Each node takes the smallest name among itself and its neighbours in the community, and then the name
+    that this one has taken, until no name changes.
+    """
+    a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
+    z = labels.select(F.col("node").alias("dst"), F.col("community").alias("cz"))
+    inside = written(graph.where("src <> dst").join(a, "src").join(z, "dst").where("ca = cz").select("src", "dst"), "louvain-inside")
+    names = written(labels.select("node", F.col("node").alias("name")), "louvain-names")
+    for _ in range(MAX_ROUNDS):
+        near = inside.join(names.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("name").alias("other"))
+        least = names.join(near, "node", "left").select("node", "name", F.least("name", "other").alias("low"))
+        jump = names.select(F.col("node").alias("low"), F.col("name").alias("further"))
+        step = written(least.join(jump, "low", "left").select("node", "name", F.least("low", "further").alias("new")), "louvain-names")
+        if not step.where("name <> new").head(1):
+            return names.withColumnRenamed("name", "community")
+        names = step.select("node", F.col("new").alias("name"))
+    raise RuntimeError(f"connected parts not settled after {MAX_ROUNDS} rounds")
+
+
+#: Safety limit: passing it is an error and never an unfinished result.
+MAX_ROUNDS = 2000
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Communities of weighted undirected edges (a, b, w): node, community (its smallest member).
 
-    Rounds of local moves, then contraction, as long as modularity grows; a level that does not
-    raise it is dropped.  Each round writes its labels to the shared scratch folder, so lineage
-    stays one round long; the driver sees two counters and one number per round.
+    Rounds of local moves, then contraction, as long as something moves; on the way up every community is
+    kept connected.  At the top, single nodes move again on the whole graph, and if any does it all goes on
+    from there.  So in the result no single move raises modularity and every community is connected.  Every
+    round raises modularity, so it ends.  Each round writes its labels to the shared scratch folder; the
+    driver only sees whether there are moves.
     """
-    graph = written(_both_ways(edges), "louvain-graph")
-    nodes = graph.select(F.col("src").alias("node")).distinct()
-    mapping = written(nodes.select("node", F.col("node").alias("community")), "louvain-map")
-    two_m = graph.agg(F.sum("w")).first()[0]
+    base = written(_both_ways(edges), "louvain-graph")
+    two_m = base.agg(F.sum("w")).first()[0]
+    labels = written(base.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), "louvain-map")
     if not two_m:
-        return mapping
-    best_q = _quality(graph, mapping, resolution).first().q
-    base = graph
-    for _ in range(max_levels):
-        strength = written(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength")
-        labels = strength.select("node", F.col("node").alias("community"))
-        fewest = None
-        for turn in range(max_rounds):
-            state = written(_round(graph, strength, labels, two_m, resolution, turn), "louvain-labels")
-            labels = state.select("node", "community")
-            wanting = state.where("wants").count()
-            if wanting == 0 or (turn >= 4 and wanting >= fewest):
-                break
-            fewest = wanting if fewest is None else min(fewest, wanting)
-        step = labels.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        moved = written(mapping.join(step, "community").select("node", F.col("next").alias("community")), "louvain-map")
-        q = _quality(base, moved, resolution).first().q
-        if q < best_q + min_gain:
+        return labels
+    for _ in range(MAX_ROUNDS):
+        labels, moved = _local_moves(base, labels, two_m, resolution)
+        if not moved:
             break
-        best_q, mapping = q, moved
-        graph = written(graph.join(labels.select(F.col("node").alias("src"), F.col("community").alias("ca")), "src")
-                        .join(labels.select(F.col("node").alias("dst"), F.col("community").alias("cz")), "dst")
-                        .groupBy(F.col("ca").alias("src"), F.col("cz").alias("dst")).agg(F.sum("w").alias("w")),
-                        "louvain-graph")
-    names = mapping.groupBy("community").agg(F.min("node").alias("name"))
-    return mapping.join(names, "community").select("node", F.col("name").alias("community"))
+        labels = _connected(base, labels)
+        graph, mapping = _contracted(base, labels), labels
+        while True:
+            tops = written(graph.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), "louvain-tops")
+            tops, merged = _local_moves(graph, tops, two_m, resolution)
+            if not merged:
+                break
+            step = tops.select(F.col("node").alias("community"), F.col("community").alias("next"))
+            mapping = written(mapping.join(step, "community").select("node", F.col("next").alias("community")), "louvain-map")
+            graph = _contracted(graph, tops)
+        labels = mapping
+    else:
+        raise RuntimeError(f"communities not settled after {MAX_ROUNDS} levels")
+    names = labels.groupBy("community").agg(F.min("node").alias("name"))
+    return labels.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def _contracted(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """The graph of communities, links inside one as a link to itself."""
+    return written(graph.join(labels.select(F.col("node").alias("src"), F.col("community").alias("ca")), "src")
+                   .join(labels.select(F.col("node").alias("dst"), F.col("community").alias("cz")), "dst")
+                   .groupBy(F.col("ca").alias("src"), F.col("cz").alias("dst")).agg(F.sum("w").alias("w")), "louvain-graph")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bounded_rows
-
 # Fixed value: the id grammar.
 ID_PATTERN = (r"\b(?:POS|PO|MC|MCH|IPV|MAP|PNL|CTL|APR|ESC|EV|RC|CA|INC|GAP|OVR)-[A-Za-z0-9:._-]*[A-Za-z0-9]")
-MAX_TERMS = 5000
+#: Characters a mention must not touch.
+BOUND = "A-Za-z0-9_&"
 
 
 def mention_ids(texts: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
@@ -22,52 +17,74 @@ def mention_ids(texts: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
     return texts.select("text_id", F.posexplode(ids).alias("pos", "id"))
 
 
-def tag_lines(lines: list[str], terms: list[tuple[str, re.Pattern]]) -> list[tuple[int, str, int, int]]:
-    """(paragraph, term, start, length): repeatedly the earliest unseen term, the longest on ties,
-    continuing after the match; a term is tagged once per text."""
-    unseen, out = dict(terms), []
-    for number, line in enumerate(lines):
-        found = {t: rx.search(line) for t, rx in unseen.items()}
-        at = 0
-        while True:
-            for t in [t for t, m in found.items() if m is not None and m.start() < at]:
-                found[t] = unseen[t].search(line[at:])
-                if found[t] is not None:  # back to positions in the whole line
-                    found[t] = unseen[t].search(line, found[t].start() + at)
-            hits = [(m.start(), -(m.end() - m.start()), i, t) for i, (t, m) in enumerate(found.items()) if m is not None]
-            if not hits:
-                break
-            start, neg, _, term = min(hits)
-            out.append((number, term, start, -neg))
-            at = start - neg
-            del unseen[term], found[term]
-    return out
-
-
-def fold(text: str) -> str:
-    """Case folding at least as coarse as the case-insensitive match it stands in for."""
-    return text.replace("\u0130", "i").replace("\u0131", "i").casefold()
+#: What windows are made of: a run of those, or any one character beyond ASCII; and what stands between.
+RUN, GAP = rf"(?:[{BOUND}]+|[^\x00-\x7F])", rf"[\x00-\x7F&&[^{BOUND}]]*"
+
+
+def _runs(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(RUN), 0), lambda x: F.lower(x))
+
+
+def _term_windows(terms: DataFrame) -> DataFrame:
+    """(key, term, alt, spelling, lead): every spelling of every entry under a hash of its word runs.
+
+    `terms` has `term` and, where there are any, `aliases` (an array).  Spellings of nothing but ASCII punctuation are left out.
+    """
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in terms.columns else F.array().cast("array<string>")
+    spelled = terms.where("term is not null").select("term", F.posexplode(F.concat(F.array("term"), aliases)).alias("alt", "spelling"))
+    once = spelled.groupBy("term", "spelling").agg(F.min("alt").alias("alt"))
+    runs = once.withColumn("runs", _runs(F.col("spelling"))).where(F.size("runs") > 0)
+    return runs.select(F.xxhash64("runs").alias("key"), F.size("runs").alias("n"), "term", "alt", "spelling",
+                       F.length(F.regexp_extract("spelling", f"^{GAP}", 0)).alias("lead"))
 
 
 def glossary_tag(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """First mention of every glossary term per text; matches ignore case and do not touch word
-    characters or `&`.  The glossary (`term`) is a short list and travels with the tasks."""
-    words = sorted({r.term for r in bounded_rows(terms, MAX_TERMS, "glossary terms")})
-
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(fold(w), w, re.compile(rf"(?<![\w&]){re.escape(w)}(?![\w&])", re.IGNORECASE)) for w in words]
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["text_id"], pdf["text"]):
-                plain = fold(text or "")
-                # most terms occur nowhere in a text: a substring test spares their expressions
-                live = [(w, rx) for folded, w, rx in compiled if folded in plain]
-                if live:
-                    rows += [(i, *hit) for hit in tag_lines(text.split("\n"), live)]
-            yield pd.DataFrame(rows, columns=["text_id", "para", "term", "start", "length"])
-
-    kind = texts.schema["text_id"].dataType.simpleString()
-    return texts.select("text_id", "text").mapInPandas(tag, f"text_id {kind}, para int, term string, start int, length int")
+    """First mention of every glossary entry per text: text_id, para, term, start, length.
+
+    Paragraph by paragraph the earliest mention of an entry not seen yet is taken, the longest on ties, and
+    the search goes on behind it.  Mentions are spellings (the term or an alias) without regard to case that
+    do not touch a word character or `&`.  Hashes of word windows, of the lengths that spellings have, meet
+    the glossary by equality, so its size does not matter; a hit is then compared with the text itself.
+    """
+    spelled = _term_windows(terms)
+    lengths = sorted(r[0] for r in spelled.select("n").distinct().collect())       # lengths in words
+    paras = texts.select("text_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "line"))
+    runs = paras.select("text_id", "para", _runs(F.col("line")).alias("runs"))
+
+    def windows(n: int) -> Column:
+        at = F.when(F.size("runs") >= n, F.sequence(F.lit(0), F.size("runs") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("runs", i + 1, n)).alias("key"), i.alias("at")))
+
+    if not lengths:
+        return texts.sparkSession.createDataFrame([], texts.select("text_id").schema.add("para", "int").add("term", "string").add(
+            "start", "int").add("length", "int"))
+    held = runs.select("text_id", "para", F.inline(F.concat(*[windows(n) for n in lengths])))
+    hits = held.join(spelled, "key").select("text_id", "para", "at", "term", "alt", "spelling", "lead")
+    # place of the run in its line: what stands before it, separators and runs
+    line = F.coalesce(F.regexp_substr("line", F.concat(F.lit(f"^(?:{GAP}{RUN}){{"), F.col("at").cast("string"), F.lit(f"}}{GAP}"))), F.lit(""))
+    read = paras.select(F.col("text_id").alias("of"), F.col("para").alias("no"), "line")
+    placed = hits.join(read, F.col("text_id").eqNullSafe(F.col("of")) & (F.col("para") == F.col("no"))).withColumn("start", F.length(line) - F.col("lead"))
+    size = F.length("spelling")
+
+    def free(at: Column) -> Column:
+        return ~F.substring(F.col("line"), at, F.lit(1)).rlike(f"[{BOUND}]")
+
+    exact = placed.where(F.col("start") >= 0).where(
+        (F.lower(F.substring(F.col("line"), F.col("start") + 1, size.cast("int"))) == F.lower("spelling"))
+        & (F.when(F.col("start") == 0, True).otherwise(free(F.greatest(F.col("start"), F.lit(1))))) & free(F.col("start") + size + 1))
+    # at one place an entry counts by its first spelling
+    first = exact.groupBy("text_id", "para", "start", "term").agg(F.min(F.struct("alt", size.alias("length"))).alias("m"))
+    some = first.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(
+        "para", "start", (-F.col("m.length")).alias("neg"), "term"))).alias("found"))
+
+    def take(done: Column, c: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        behind = (F.size(done) == 0) | (c["para"] > last["para"]) | (c["start"] >= last["start"] - last["neg"])
+        return F.when(behind & ~F.exists(done, lambda x: x["term"] == c["term"]), F.concat(done, F.array(c))).otherwise(done)
+
+    kind = "array<struct<para:int,start:int,neg:int,term:string>>"
+    taken = F.aggregate(F.col("found").cast(kind), F.array().cast(kind), take)
+    return some.select("text_id", F.inline(taken)).select("text_id", "para", "term", "start", (-F.col("neg")).alias("length"))
 
 
 def _first_of(text: Column, needles: tuple[str, ...]) -> Column:
