@@ -38,3 +38,20 @@ def test_case_csv(spark, tmp_path):
                     'source,confidence\n1,2012-01-05,day,PriceOverride,PO,"one, two",Trader,,x,R3;R9,S,high\n')
     r = files.load_case_events(spark, str(path)).first()
     assert (r.seq, r.event_id, r.description, r.amount_usd_m, r.rules_broken) == (1, "PO", "one, two", None, "R3;R9")
+
+
+def test_unique_ids_over_all_labels(spark):
+    from valuwatch.operators import graph as G
+
+    rows = [("Desk", "D1"), ("Desk", "D1"), ("Person", "D1"), ("Person", "P"), ("Evidence", "E"), ("Evidence", "E"), ("Evidence", "E"), ("Desk", None)]
+    got = G.unique_ids(spark.createDataFrame(rows, "label string, id string")).collect()
+    assert {tuple(x) for x in got} == {("Desk", "D1", 2), ("Evidence", "E", 3)}
+
+
+def test_broken_obligation_parameters_are_kept_apart(spark, tmp_path):
+    path = tmp_path / "obligations.csv"
+    head = files.OBLIGATION_SCHEMA.replace(" string", "").replace(" int", "").replace(" boolean", "").replace(", ", ",")
+    path.write_text(head + '\nR3,n,t,"a, b",c,r,AFTER,5,"{""thresholdBps"":30}",,high,g,true,false\nR4,n,t,x,c,r,AFTER,5,{oops,,high,g,true,false\n')
+    rows = {r.rule_id: r for r in files.load_obligations(spark, str(path)).collect()}
+    assert rows["R3"].threshold_bps == 30 and rows["R4"].n is None and rows["R4"].sla_days == 5
+    assert [tuple(r) for r in files.obligation_faults(spark, str(path)).collect()] == [("R4", "{oops")]

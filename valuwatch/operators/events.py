@@ -155,6 +155,7 @@ def gap_holdout(b: Book, plan: tuple[tuple[str, str], ...], exclude: DataFrame)
 def link_holdout(bridge: DataFrame, exclude: DataFrame, k: int, seed: int) -> DataFrame:
     """k pseudo-random attribute links, never of excluded entities and never liquidityTier.
 
-    The draw orders links by a seeded hash, so it does not depend on partitioning."""
+    The draw orders links by md5 of the seed and the link, so it depends on neither partitioning nor engine."""
+    draw = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.coalesce(c, F.lit("")) for c in ("entity_id", "ra_type", "ra_value")]))
     return (bridge.where("ra_type <> 'liquidityTier'").join(exclude, bridge.entity_id == exclude.position_id, "left_anti")
-            .orderBy(F.xxhash64(F.lit(seed), "entity_id", "ra_type", "ra_value"), "entity_id", "ra_type").limit(k))
+            .orderBy(draw, "entity_id", "ra_type", "ra_value").limit(k))

@@ -126,10 +126,11 @@ def basis_faults(embedding: DataFrame, basis: DataFrame) -> DataFrame:
 
 
 def fp_random_basis(atoms: DataFrame, dimension: int, seed: int, p: Params = Params(), sparsity: float = 1 / 3) -> DataFrame:
-    """Sparse +1/-1/0 vectors drawn from a hash of (seed, atom, grid point, dimension)."""
+    """Sparse +1/-1/0 vectors drawn from 52 bits of md5 over (seed, atom, grid point, dimension)."""
     cells = atoms.select("atom", F.explode(F.sequence(F.lit(0), F.lit(p.grid_points - 1))).alias("gi"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(dimension - 1))).alias("k"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "atom", "gi", "k"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    text = F.concat_ws("|", F.lit(seed).cast("string"), "atom", F.col("gi").cast("string"), F.col("k").cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return cells.select("atom", "gi", "k", F.when(u < sparsity / 2, 1.0).when(u < sparsity, -1.0).otherwise(0.0).alias("v"))
 
 

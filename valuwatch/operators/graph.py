@@ -90,6 +90,14 @@ def check_unique(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def unique_ids(entities: DataFrame) -> DataFrame:
+    """Violations of "an id is unique within its label", for all labels of (label, id) rows in one grouping.
+
+    Rows are counted before they are shuffled, so a label or id with very many rows is one row a task.
+    """
+    return check_unique(entities, "label", "id").select("label", "id", "n")
+
+
 def label_counts(b: Book) -> DataFrame:
     return nodes(b).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from . import discovery, events, market, policy, rules, scenarios, shape  # noqa: F401
+from . import discovery, events, files, market, policy, rules, scenarios, shape  # noqa: F401
 from .registry import CATALOG
 
 __all__ = ["CATALOG"]

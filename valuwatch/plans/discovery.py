@@ -152,7 +152,10 @@ tq("fp_given_basis", """
     SELECT position_id, k, round(sum(v * ((length(atom) * 7 + gi * 3 + k) % 5 - 2) / 2.0), 6) AS v
     FROM embedded, range(0, 4) d(k) GROUP BY 1, 2""")(
     lambda b: FP.fp_given_basis(embedding(b), basis(b)).withColumn("v", F.round("v", 6)))
-tq("fp_random_basis")(lambda b: FP.fp_random_basis(atoms(b), 16, 42, P))
+tq("fp_random_basis", f"""
+    SELECT atom, gi, k, CASE WHEN u < 1 / 6.0 THEN 1.0 WHEN u < 1 / 3.0 THEN -1.0 ELSE 0.0 END::DOUBLE AS v FROM (
+        SELECT atom, gi, k, ('0x' || substr(md5('42|' || atom || '|' || gi || '|' || k), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS u
+        FROM atom, range(0, 5) g(gi), range(0, 16) d(k))""")(lambda b: FP.fp_random_basis(atoms(b), 16, 42, P))
 tq("trajectory_write", "SELECT position_id, count(*) AS dimensions, round(sqrt(sum(v * v)), 6) AS norm FROM embedded GROUP BY 1")(
     lambda b: FP.trajectory_write(embedding(b)))
 

@@ -180,10 +180,16 @@ query("gap_holdout", "SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELE
           [f"SELECT position_id FROM h{j + 1}" for j in range(i)]) or "SELECT ''") for i, (r, lab) in enumerate(PLAN)})(
     lambda b: E.gap_holdout(b, PLAN, b.incident))
 
-query("link_holdout")(lambda b: E.link_holdout(b.attribute, b.incident.select("position_id").distinct(), 6, 42))
-
-query("id_unique_check", """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")(
-    lambda b: G.check_unique(b.raw["lineitem"], "l_orderkey", "l_linenumber"))
+query("link_holdout", """
+    SELECT entity_id, ra_type, ra_value FROM attribute WHERE ra_type <> 'liquidityTier' AND entity_id NOT IN (SELECT position_id FROM incident)
+    ORDER BY md5('42|' || coalesce(entity_id, '') || '|' || coalesce(ra_type, '') || '|' || coalesce(ra_value, '')), entity_id, ra_type, ra_value LIMIT 6""")(lambda b: E.link_holdout(b.attribute, b.incident.select("position_id").distinct(), 6, 42))
+
+query("id_unique_check", """
+    SELECT label, id, count(*) AS n FROM (
+        SELECT label, id FROM node UNION ALL SELECT 'TradeLine', l_orderkey || '-' || l_linenumber FROM lineitem)
+    GROUP BY 1, 2 HAVING count(*) > 1""", **GRAPH_VIEWS)(
+    lambda b: G.unique_ids(G.nodes(b).select("label", "id").unionByName(b.raw["lineitem"].select(
+        F.lit("TradeLine").alias("label"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")))))
 query("label_counts", "SELECT label, count(*) AS n FROM node GROUP BY 1", **GRAPH_VIEWS)(G.label_counts)
 query("schema_triples", """SELECT from_label, rel_type, to_label, count(*) AS n FROM edge GROUP BY 1, 2, 3
                            ORDER BY n DESC, 1, 2, 3 LIMIT 30""", **GRAPH_VIEWS)(lambda b: G.schema_triples(G.edges(b)))

@@ -95,10 +95,10 @@ q("timeline", """
     FROM (SELECT *, lag(event_at) OVER (PARTITION BY position_id ORDER BY event_at, event_id) AS prev_at FROM chained)
     WHERE label <> 'Mark'""")(S.timeline)
 q("chain_paths", """
-    SELECT a.position_id, a.event_id AS from_id, z.event_id AS to_id, z.rn - a.rn AS hops,
+    SELECT a.position_id, a.event_id AS from_id, z.event_id AS to_id, a.h AS hops,
            floor(epoch(z.event_at - a.event_at) / 86400)::BIGINT AS days_between
-    FROM placed a JOIN placed z ON z.position_id = a.position_id AND z.rn - a.rn BETWEEN 1 AND 10
-    WHERE a.label = 'PriceOverride' AND z.label = 'IPVReview'""")(S.chain_paths)
+    FROM (SELECT *, unnest(range(1, 11)) AS h FROM placed WHERE label = 'PriceOverride') a
+    JOIN (SELECT * FROM placed WHERE label = 'IPVReview') z ON z.position_id = a.position_id AND z.rn = a.rn + a.h""")(S.chain_paths)
 q("who_approved", """
     SELECT a.source_event_id, a.response_id AS approval_id, a.event_at AS approved_at, r.name AS approver, r.role AS approver_role,
            r.desk_id AS approver_desk, p.desk_id AS position_desk, coalesce(r.desk_id = p.desk_id, FALSE) AS same_desk, a.evidenced

@@ -43,11 +43,11 @@ def read_curve(spark: SparkSession, path: str, d0: str, d1: str) -> DataFrame:
 def liquidity_flags(spark: SparkSession, path: str, row_tag: str = "RefData") -> DataFrame:
     """Register records to (cusip, liquid): bonds with a US identifier, the latest file winning.
 
-    Files of one snapshot carry its date in their name; unzip first, archives do not split.
+    Files of one snapshot carry its date in their name or in that of their folder; unzip first, archives do not split.
     """
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(
         "Id string, FinInstrmClssfctn string, Lqdty boolean").load(path)
-    kept = rows.select("*", F.col("_metadata.file_name").alias("snapshot")).where(
+    kept = rows.select("*", F.col("_metadata.file_path").alias("snapshot")).where(
         "FinInstrmClssfctn = 'BOND' and Id like 'US%'")
     return kept.groupBy(F.substring("Id", 3, 9).alias("cusip")).agg(F.max_by("Lqdty", "snapshot").alias("liquid"))
 
@@ -68,6 +68,13 @@ def load_obligations(spark: SparkSession, path: str) -> DataFrame:
         "same_desk_allowed", F.lit(False))).otherwise(F.col("same_desk_allowed")))
 
 
+def obligation_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Obligation rows kept apart because their parameters are no JSON object: rule_id, params_json."""
+    raw = spark.read.schema(OBLIGATION_SCHEMA).option("header", True).option("escape", '"').csv(path)
+    parsed = F.from_json("params_json", "map<string,string>")
+    return raw.where(F.coalesce(F.col("params_json"), F.lit("")) != "").where(parsed.isNull()).select(F.col("id").alias("rule_id"), "params_json")
+
+
 def rules_from(obligations: DataFrame) -> tuple[Rule, ...]:
     """Obligation rows as rule values; an obligation table is a short control table."""
     return tuple(sorted((Rule(**r.asDict()) for r in bounded_rows(obligations, 1000, "obligations")),
@@ -75,7 +82,8 @@ def rules_from(obligations: DataFrame) -> tuple[Rule, ...]:
 
 
 def load_case_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASE_SCHEMA).option("header", True).option("escape", '"').csv(path)
+    """Case rows; a description may run over several lines."""
+    return spark.read.schema(CASE_SCHEMA).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def write_layer(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
