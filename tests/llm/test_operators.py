@@ -175,22 +175,83 @@ def test_common_blocks_that_cross_an_alignment():
 
 # 4 quality model
 
-def test_model_sums_to_one_and_tells_junk(spark):
-    good = [(k, prose(k, 120), "en", "s", 0) for k in range(60)]
+def kneser_ney(texts, order):
+    """log2 P(word | context) by the textbook recursion, over dictionaries."""
+    seqs = [["<s>", *words(t), "</s>"] for t in texts if words(t)]
+    raw = [Counter(tuple(s[i:i + k]) for s in seqs for i in range(len(s) - k + 1)) for k in range(order + 1)]
+    counts = [None] * (order + 1)
+    counts[order] = raw[order]
+    for k in range(1, order):
+        after = Counter(g[1:] for g in raw[k + 1])
+        counts[k] = {g: raw[k][g] if g[0] == "<s>" else after[g] for g in raw[k] if not (k == 1 and g[0] == "<s>")}
+    if order == 1:
+        counts[1] = {g: n for g, n in raw[1].items() if g[0] != "<s>"}
+    cuts = [None] + [quality_model.discounts([sum(n == j for n in counts[k].values()) for j in range(1, 5)]) for k in range(1, order + 1)]
+    by_context = [None] + [defaultdict(dict) for _ in range(order)]
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            by_context[k][g[:-1]][g[-1]] = n
+
+    def p(context, word):
+        k = len(context) + 1
+        here = by_context[k].get(context)
+        lower = 1 / (len(counts[1]) + 1) if k == 1 else p(context[1:], word)
+        if not here:
+            return lower
+        total, d = sum(here.values()), cuts[k]
+        gamma = sum(d[min(n, 3) - 1] for n in here.values()) / total
+        n = here.get(word, 0)
+        return (n - d[min(n, 3) - 1] if n else 0) / total + gamma * lower
+
+    return lambda t: -sum(np.log2(p(tuple(s[max(0, i - order + 1):i]), s[i])) for s in [["<s>", *words(t), "</s>"]] for i in range(1, len(s)))
+
+
+@pytest.mark.parametrize("order, top, bits", [(2, 1 << 19, 1 << 26), (3, 7, 1 << 10), (1, 5, 1 << 8)])
+def test_perplexities_are_the_textbooks(spark, monkeypatch, order, top, bits):
+    monkeypatch.setattr(quality_model, "TOP", top)               # values that go to every task, and a filter that lets much through
+    monkeypatch.setattr(quality_model, "BITS", bits)
+    r = random.Random(order)
+    vocabulary = [f"w{k}" for k in range(30)] + ["é", "<s>", "</s>"]
+
+    def said(n):
+        return " ".join(vocabulary[min(int(r.expovariate(0.2)), len(vocabulary) - 1)] for _ in range(n))
+
+    fit = [said(r.randint(1, 25)) for _ in range(80)] + ["", " "]
+    asked = [said(r.randint(1, 40)) for _ in range(40)] + ["never seen words", "w1", "w1 " * 300, fit[0]]
+    trusted = spark.createDataFrame([(t,) for t in fit], "text string").repartition(3)
+    values, unknown = quality_model.train(trusted, order)
+    rows = [(k, t) for k, t in enumerate([*asked, "", None])] + [(0, asked[0])] * 3
+    docs = spark.createDataFrame(rows, "key bigint, text string").repartition(4)
+    got = {x["key"]: x for x in quality_model.score(docs, values, unknown, order).collect()}
+    # the marks are no words of texts
+    renamed = [" ".join({"<s>": "START", "</s>": "END"}.get(w, w) for w in words(t)) for t in fit]
+    bits_of = kneser_ney(renamed, order)
+    for k, t in enumerate(asked):
+        t = " ".join({"<s>": "START", "</s>": "END"}.get(w, w) for w in words(t))
+        assert got[k]["lm_words"] == len(words(t)) and got[k]["lm_bits"] == pytest.approx(bits_of(t), rel=1e-9), t
+    assert [got[len(asked) + k]["lm_words"] for k in (0, 1)] == [0, 0]
+
+
+def test_model_tells_junk(spark):
+    good = [(k, prose(k, 120), "en", "s", 0) for k in range(100)]
     junk = [(1000 + k, re.sub(r"(\w)\b", r"\1$$%#", prose(k + 500, 120)).upper(), "en", "s", 0) for k in range(20)]
-    docs = spark.createDataFrame(good + junk + [(2000, None, None, None, 0), (2001, "", "xx", None, 0)], DOC)
-    labels = spark.createDataFrame([(k, 1) for k in range(30)] + [(1000, 0)], "doc_id bigint, quality int")
-    table = quality_model.train(docs.where("doc_id < 30"))
-    p = np.exp2(table.reshape(-1, quality_model.CLASSES)).sum(1)
-    assert np.allclose(p, 1, atol=1e-4)
+    docs = spark.createDataFrame(good + junk + [(2000, None, None, None, 0), (2001, "", "xx", None, 0), (2002, "x " * 100_000, "en", None, 0)], DOC)
+    labels = spark.createDataFrame([(k, 1) for k in range(70)] + [(1000, 0), (None, 1)], "doc_id bigint, quality int")
     out = {x["doc_id"]: x for x in quality_model.classify(docs, labels).collect()}
-    assert all(out[k]["lm_kept"] for k in range(60)) and not any(out[1000 + k]["lm_kept"] for k in range(20))
-    assert not out[2000]["lm_kept"] and out[2000]["perplexity"] is None
-    code, n = quality_model.ngram_codes(["ab", "", "b"])
-    assert n.tolist() == [2, 0, 1] and code.tolist() == [3, 3 * 40 + 4, 4]
+    assert sum(out[k]["lm_kept"] for k in range(100)) >= 97 and not any(out[1000 + k]["lm_kept"] for k in range(20))
+    assert not out[2000]["lm_kept"] and out[2000]["perplexity"] is None and out[2001]["lm_words"] == 0
+
+
+def test_model_awkward(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(k, 1) for k in (1, 5, 6, 8, 900)] + [(1, 1)], "doc_id bigint, quality int").withColumn("text", F.lit("x"))
+    out = quality_model.classify(docs, labels)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "lang", "lm_words", "perplexity", "limit", "lm_kept"] and len(rows) == docs.count()
+    assert len({(x["perplexity"], x["lm_kept"]) for x in rows if x["doc_id"] == 5}) == 1
     nobody = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality_model.classify(empty(spark), nobody).count() == 0
-    assert {x["lm_kept"] for x in quality_model.classify(docs, nobody).collect()} == {True, False}
+    assert {x["lm_kept"] for x in quality_model.classify(docs, nobody).collect() if x["lm_words"]} == {True}
 
 
 # 5 quality rules

@@ -40,7 +40,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return c.select("doc_id", "lang", F.col("lm_chars").alias("n_scored"), "perplexity", "limit", F.col("lm_kept").alias("kept"))
+    return c.select("doc_id", "lang", F.col("lm_words").alias("n_scored"), "perplexity", "limit", F.col("lm_kept").alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
