@@ -85,20 +85,35 @@ def conjunction_members(b: Book, gaps: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [own, core, gap_ids, performers, approvals]).distinct()
 
 
+def _captioned(b: Book, gaps: DataFrame) -> DataFrame:
+    """Every node that can be shown, concrete gaps among them."""
+    return graph.nodes(b).unionByName(gaps.select(F.col("gap_id").alias("id"), F.lit("GovernanceGap").alias("label"),
+                                                  F.col("gap_id").alias("caption")))
+
+
+def neighborhood_nodes(b: Book, gaps: DataFrame) -> DataFrame:
+    """The nodes of every neighbourhood: position_id, id, label, caption."""
+    ids = neighborhood(b, gaps).select("position_id", F.explode(F.array("f", "t")).alias("id")).distinct()
+    return ids.join(_captioned(b, gaps), "id").select("position_id", "id", "label", "caption")
+
+
 def conjunction_paint(b: Book, gaps: DataFrame) -> DataFrame:
     """Nodes of every neighbourhood, greyed where they are outside the conjunction."""
-    near = neighborhood(b, gaps)
-    ids = near.select("position_id", F.explode(F.array("f", "t")).alias("id")).distinct()
-    labels = graph.nodes(b).unionByName(gaps.select(F.col("gap_id").alias("id"), F.lit("GovernanceGap").alias("label"),
-                                                    F.col("gap_id").alias("caption")))
     members = conjunction_members(b, gaps).withColumn("member", F.lit(True))
-    return ids.join(labels, "id").join(members, ["position_id", "id"], "left").select(
+    return neighborhood_nodes(b, gaps).join(members, ["position_id", "id"], "left").select(
         "position_id", "id", "label",
         F.when(F.length("caption") > CAPTION, F.concat(F.substring("caption", 1, CAPTION), F.lit("…")))
         .otherwise(F.col("caption")).alias("caption"),
         F.col("member").isNull().alias("grey"))
 
 
+def conjunction_paint_edges(b: Book, gaps: DataFrame) -> DataFrame:
+    """Edges of every neighbourhood between nodes that are shown: position_id, f, t, ty."""
+    shown = _captioned(b, gaps).select("id").distinct()
+    near = neighborhood(b, gaps)
+    return near.join(shown, near.f == shown.id, "left_semi").join(shown, near.t == shown.id, "left_semi")
+
+
 def chain_events(b: Book) -> DataFrame:
     """Everything in a position's chain: its chronology and its marks."""
     marks = b.mark.select(

@@ -33,21 +33,27 @@ def position_prices(b: Book, prices: DataFrame) -> DataFrame:
         "position_id", "side", "day", "price")
 
 
+#: Columns of one section only, null in the others: the candle of a price, the prices of an event, the rule of a control.
+CANDLE = ("open", "high", "low", "close", "trade_count")
+
+
 def timeline_bundle(b: Book, prices: DataFrame, prices_at_event: DataFrame, controls: DataFrame) -> DataFrame:
-    """position_id, section (price | event | control), seq, at_time, ref, label, role, value, divergence_bps."""
-    none = F.lit(None)
-    price = position_prices(b, prices).select(
+    """position_id, section (price | event | control), seq, at_time, ref, label, role, value, divergence_bps, and
+    the candle and trade count of a price, model and IPV price of an event, name of a control's rule.
+
+    The source of a price is its label.
+    """
+    held = b.position.select("position_id", "instrument_id").join(prices, "instrument_id")
+    price = held.select(
         "position_id", F.lit("price").alias("section"), F.col("day").cast("timestamp_ntz").alias("at_time"),
-        F.col("side").alias("ref"), F.col("side").alias("label"), none.cast("string").alias("role"),
-        F.col("price").alias("value"), none.cast("bigint").alias("divergence_bps"))
+        F.col("side").alias("ref"), F.col("side").alias("label"), F.col("price").alias("value"), *CANDLE)
     event = marker_events(b, prices_at_event).select(
         "position_id", F.lit("event").alias("section"), F.col("event_at").alias("at_time"), F.col("event_id").alias("ref"),
-        "label", "role", F.col("trader_mark").alias("value"), "divergence_bps")
+        "label", "role", F.col("trader_mark").alias("value"), "divergence_bps", "model_price", "ipv_price")
     control = controls.select(
         "position_id", F.lit("control").alias("section"), F.col("due_by").alias("at_time"),
-        F.concat_ws("/", "rule_id", "trigger_event_id", "observed_event_id").alias("ref"), F.col("status").alias("label"),
-        none.cast("string").alias("role"), none.cast("double").alias("value"), none.cast("bigint").alias("divergence_bps"))
-    rows = price.unionByName(event).unionByName(control)
+        F.concat_ws("/", "rule_id", "trigger_event_id", "observed_event_id").alias("ref"), F.col("status").alias("label"), "rule_name")
+    rows = price.unionByName(event, allowMissingColumns=True).unionByName(control, allowMissingColumns=True)
     return row_numbers(rows, ["position_id", "section"], ["at_time", "ref"], "seq")
 
 

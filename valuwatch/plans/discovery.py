@@ -15,7 +15,7 @@ from .events import PLAN
 from .registry import query
 
 P = FP.Params()
-THRESHOLD = -0.2   # monthly averages of the test tables are noise around 0
+THRESHOLD = 0.45   # fixed value: correlation below which a position has left its peers
 TOP = 10
 
 # ---- approval communities ------------------------------------------------------------------

@@ -63,10 +63,10 @@ def prices(b):
     """Observed and model prices of the held instruments."""
     held = b.position.select("instrument_id").distinct()
     observed = M.daily_ohlc(b.trade.join(held, "instrument_id", "left_semi")).select(
-        "instrument_id", F.lit("observed").alias("side"), "day", F.col("pr").alias("price"))
+        "instrument_id", F.lit("observed").alias("side"), "day", F.col("pr").alias("price"), "open", "high", "low", "close", "trade_count")
     model = proxied(b).join(held, "instrument_id", "left_semi").select(
         "instrument_id", F.lit("model").alias("side"), "day", F.col("proxy").alias("price"))
-    return observed.unionByName(model)
+    return observed.unionByName(model, allowMissingColumns=True)
 
 
 PRICE_VIEWS = {

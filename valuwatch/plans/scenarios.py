@@ -89,6 +89,14 @@ q("conjunction_paint", """
     FROM (SELECT position_id, f AS id FROM near UNION SELECT position_id, t FROM near) n
     JOIN (SELECT * FROM node UNION ALL SELECT gap_id, 'GovernanceGap', gap_id FROM gap) l ON l.id = n.id
     LEFT JOIN member m ON m.position_id = n.position_id AND m.id = n.id""")(lambda b: S.conjunction_paint(b, b.gaps))
+_SHOWN = """JOIN (SELECT * FROM node UNION ALL SELECT gap_id, 'GovernanceGap', gap_id FROM gap) l ON l.id = n.id"""
+q("neighborhood_nodes", f"""
+    SELECT n.position_id, n.id, l.label, l.caption
+    FROM (SELECT position_id, f AS id FROM near UNION SELECT position_id, t FROM near) n {_SHOWN}""")(lambda b: S.neighborhood_nodes(b, b.gaps))
+q("conjunction_paint_edges", """
+    SELECT position_id, f, t, ty FROM near WHERE f IN (SELECT id FROM node UNION SELECT gap_id FROM gap)
+       AND t IN (SELECT id FROM node UNION SELECT gap_id FROM gap)""")(
+    lambda b: S.conjunction_paint_edges(b, b.gaps))
 q("timeline", """
     SELECT position_id, event_id AS id, label, event_at AS at_time, source_at, description,
            floor(epoch(event_at - prev_at) / 86400)::BIGINT AS time_delta_days
@@ -154,15 +162,20 @@ TIMELINE_VIEWS = {
                SELECT position_id, day FROM position_price UNION ALL SELECT position_id, event_at::DATE FROM marker
                UNION ALL SELECT position_id, due_by::DATE FROM gap) GROUP BY 1""",
     "bundle": f"""
-        SELECT position_id, 'price' AS section, day::TIMESTAMP AS at_time, side AS ref, side AS label, NULL AS role,
-               price AS value, NULL AS divergence_bps FROM position_price
+        SELECT position_id, 'price' AS section, x.day::TIMESTAMP AS at_time, side AS ref, side AS label, NULL AS role,
+               price AS value, NULL AS divergence_bps, CASE WHEN side = 'observed' THEN open END AS open, CASE WHEN side = 'observed' THEN high END AS high,
+               CASE WHEN side = 'observed' THEN low END AS low, CASE WHEN side = 'observed' THEN close END AS close,
+               CASE WHEN side = 'observed' THEN trade_count END AS trade_count, NULL AS model_price, NULL AS ipv_price, NULL AS rule_name
+        FROM position JOIN price x USING (instrument_id) LEFT JOIN daily d ON d.instrument_id = x.instrument_id AND d.day = x.day
         UNION ALL
         SELECT m.position_id, 'event', m.event_at, m.event_id, m.label, coalesce(r.role, m.actor_role), {rd('mark', 3)},
                coalesce(m.divergence_bps, CASE WHEN {rd('mdl', 3)} > 0 THEN
-                        floor(({rd('mark', 3)} - {rd('mdl', 3)}) / {rd('mdl', 3)} * 10000 + 0.5)::BIGINT END)
+                        floor(({rd('mark', 3)} - {rd('mdl', 3)}) / {rd('mdl', 3)} * 10000 + 0.5)::BIGINT END),
+               NULL, NULL, NULL, NULL, NULL, {rd('mdl', 3)}, {rd("CASE WHEN m.label = 'IPVReview' THEN mark * (1 - x.divergence_bps / 10000) END", 3)}, NULL
         FROM marker m LEFT JOIN person r ON r.person_id = m.person_id LEFT JOIN priced x ON x.event_id = m.event_id
         UNION ALL
-        SELECT position_id, 'control', due_by, concat_ws('/', rule_id, trigger_event_id, observed_event_id), status, NULL, NULL, NULL
+        SELECT position_id, 'control', due_by, concat_ws('/', rule_id, trigger_event_id, observed_event_id), status, NULL, NULL, NULL,
+               NULL, NULL, NULL, NULL, NULL, NULL, NULL, rule_name
         FROM controls""",
 }
 
