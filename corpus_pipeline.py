@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Other columns pass through, whatever their names.
     """
     judged = quality_rules.measures(docs.select(pack(docs), "text"))
-    # a filter below the verdict would have every line judged twice; it does not pass a column like this
-    judged = judged.withColumn("here", F.spark_partition_id()).where("q_kept")
+    # a filter below the verdict would have every line judged twice; one that reads such a column stays above
+    judged = judged.withColumn("here", F.spark_partition_id()).where("q_kept and here >= 0")
     return _documents(judged, docs, F.col("q_text"))
 
 
