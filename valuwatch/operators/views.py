@@ -24,9 +24,23 @@ def sql_views(b: Book, statement: str, **params) -> DataFrame:
     return b.spark.sql(statement, args=params)
 
 
-def store_layer(b: Book, folder: str) -> None:
-    n = graph.nodes(b).select("id", F.to_json(F.struct("caption")).alias("props"), "label")
-    write_layer(n, graph.edges(b), folder)
+def layer_nodes(b: Book) -> DataFrame:
+    """Nodes with the properties that are stored: captions for all, times and measures of events and positions."""
+    c = F.col
+    events = b.event.select(
+        c("event_id").alias("id"), "label", c("event_id").alias("caption"), c("event_at").alias("at"), c("source_at").alias("sourceAt"),
+        c("effective_at").alias("effectiveAt"), c("deviation_bps").alias("deviationBps"), c("divergence_bps").alias("divergenceBps"), "outcome")
+    positions = b.position.select(c("position_id").alias("id"), F.lit("Position").alias("label"), F.coalesce("name", "position_id").alias("caption"),
+                                  c("opened_at").cast("timestamp_ntz").alias("openedAt"), c("valid_to").cast("timestamp_ntz").alias("validTo"))
+    # events and positions stand above, with more than a caption
+    rest = graph.nodes(b.with_(event=b.event.limit(0), position=b.position.limit(0)))
+    methods = b.position.select(c("methodology_id").alias("id")).distinct().select("id", F.lit("ValuationMethodology").alias("label"), c("id").alias("caption"))
+    return events.unionByName(positions, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True).unionByName(
+        methods, allowMissingColumns=True)
+
+
+def store_layer(b: Book, folder: str) -> str:
+    return write_layer(layer_nodes(b), graph.edges(b), folder)
 
 
 def reset_and_load(spark: SparkSession, folder: str) -> DataFrame:

@@ -203,8 +203,8 @@ query("node_summary", """
 
 
 def sink_layers(b):
-    V.store_layer(b, V.layer_folder(b))
-    _, edges = read_layer(b.spark, V.layer_folder(b))
+    version = V.store_layer(b, V.layer_folder(b))
+    _, edges = read_layer(b.spark, V.layer_folder(b), version)
     return edges.groupBy("rel_type", "from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -212,17 +212,20 @@ query("sink_layers", "SELECT rel_type, from_label, to_label, count(*) AS n FROM
 
 
 def scan_layers(b):
-    V.store_layer(b, V.layer_folder(b) + "-scan")
-    nodes, _ = read_layer(b.spark, V.layer_folder(b) + "-scan")
-    return nodes.select("id", "label", F.get_json_object("props", "$.caption").alias("caption"))
+    version = V.store_layer(b, V.layer_folder(b))
+    nodes, _ = read_layer(b.spark, V.layer_folder(b), version)
+    return nodes.select("id", "label", "caption", "at", "sourceAt", "effectiveAt", "openedAt", "validTo", "deviationBps", "divergenceBps", "outcome")
 
 
-query("scan_layers", "SELECT id, label, caption FROM node", **GRAPH_VIEWS)(scan_layers)
+query("scan_layers", """
+    SELECT n.id, n.label, n.caption, e.event_at AS at, e.source_at AS sourceAt, e.effective_at AS effectiveAt, p.opened_at::TIMESTAMP AS openedAt,
+           p.valid_to::TIMESTAMP AS validTo, e.deviation_bps AS deviationBps, e.divergence_bps AS divergenceBps, e.outcome
+    FROM node n LEFT JOIN event e ON e.event_id = n.id LEFT JOIN position p ON p.position_id = n.id""", **GRAPH_VIEWS)(scan_layers)
 
 
 def reset_and_load(b):
-    V.store_layer(b, V.layer_folder(b) + "-load")
-    return V.reset_and_load(b.spark, V.layer_folder(b) + "-load")
+    V.store_layer(b, V.layer_folder(b))
+    return V.reset_and_load(b.spark, V.layer_folder(b))
 
 
 query("reset_and_load", "SELECT label, count(*) AS n FROM node GROUP BY 1", **GRAPH_VIEWS)(reset_and_load)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
+from ..model import DEFAULT_RULES
 from ..operators import rules as R
-from .prelude import GAP_SQL
+from ..operators.refresh import refresh_gaps
+from ..session import scratch_dir
+from .prelude import GAP_SQL, obligation_values
 from .registry import query
 
 for _name, _branch, _view in (
@@ -21,6 +27,20 @@ query("governance_gaps", "SELECT * FROM controls WHERE status IN ('MISSED', 'LAT
     lambda b: R.governance_gaps(b.controls))
 query("gap_materialise", "SELECT * FROM gap")(R.gap_materialise)
 
+
+def _edited(rules):
+    return tuple(replace(r, divergence_bps=80) if r.rule_id == "R5" else r for r in rules)
+
+
+def gap_refresh(b):
+    """Gaps stored under the book's rules, then read again under an edit of one of them."""
+    folder = f"{scratch_dir(b.spark)}/gap-store-{uuid.uuid4().hex[:8]}"
+    refresh_gaps(b, folder)
+    return refresh_gaps(b.with_(rules=_edited(b.rules)), folder)[0]
+
+
+query("gap_refresh", "SELECT * FROM gap", obligation=obligation_values(_edited(DEFAULT_RULES)))(gap_refresh)
+
 _SUMMARY = """
     SELECT o.rule_id, any_value(o.rule_name) AS rule_name,
            count(*) FILTER (c.status = 'MET') AS met, count(*) FILTER (c.status = 'LATE') AS late,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,16 +88,39 @@ def load_case_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE_SCHEMA).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
-def write_layer(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Nodes by label, edges by type and endpoint labels."""
-    nodes.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/nodes")
-    edges.write.mode("overwrite").partitionBy("rel_type", "from_label", "to_label").parquet(f"{folder}/edges")
+#: Properties of a stored node beside its id and label.
+NODE_PROPERTIES = {"caption": "string", "at": "timestamp_ntz", "sourceAt": "timestamp_ntz", "effectiveAt": "timestamp_ntz",
+                   "openedAt": "timestamp_ntz", "validTo": "timestamp_ntz", "deviationBps": "bigint", "divergenceBps": "bigint", "outcome": "string"}
 
 
-def read_layer(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.schema("id string, props string, label string").parquet(f"{folder}/nodes"),
-            spark.read.schema("src string, dst string, rel_type string, from_label string, to_label string")
-            .parquet(f"{folder}/edges"))
+def write_layer(nodes: DataFrame, edges: DataFrame, folder: str) -> str:
+    """Store a new version of a layer, and its name, which readers find from then on.
+
+    Nodes (id, label and any of NODE_PROPERTIES) are JSON lines by label, edges Parquet by type and endpoint
+    labels.  Versions are never overwritten, so what an earlier reader still reads stays.  The pointer is a
+    one-row file that is added last; a version without one does not exist for readers.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    have = [c for c in NODE_PROPERTIES if c in nodes.columns]
+    nodes.select("id", "label", *have).write.mode("errorifexists").partitionBy("label").json(f"{folder}/{version}/nodes")
+    edges.write.mode("errorifexists").partitionBy("rel_type", "from_label", "to_label").parquet(f"{folder}/{version}/edges")
+    spark = nodes.sparkSession
+    spark.createDataFrame([(version, time.time_ns())], "version string, written bigint").coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
+    return version
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    """The version whose pointer was written last."""
+    return spark.read.schema("version string, written bigint").parquet(f"{folder}/pointer").agg(
+        F.max_by("version", F.struct("written", "version"))).first()[0]
+
+
+def read_layer(spark: SparkSession, folder: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with typed properties, and edges, of a version (the current one if none is named)."""
+    at = f"{folder}/{version or current_version(spark, folder)}"
+    nodes = load_json_nodes(spark, f"{at}/nodes", {"id": "string", **NODE_PROPERTIES, "label": "string"})
+    return nodes, (spark.read.schema("src string, dst string, rel_type string, from_label string, to_label string")
+                   .parquet(f"{at}/edges"))
 
 
 def load_json_nodes(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
