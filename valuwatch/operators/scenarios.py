@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import elapsed_days
 from ..functions.ordered import neighbour, row_numbers
 from ..model import Book
+from ..session import written
 from . import graph
 
 # Edge types shown around a position, attribute types a pattern keeps, caption length.
@@ -225,6 +226,32 @@ def read_across(b: Book, gaps: DataFrame, pattern: DataFrame) -> DataFrame:
                        F.coalesce("confirmed", F.lit(False)).alias("confirmed_incident"))
 
 
+def _profile(df: DataFrame, key: str, out: str) -> DataFrame:
+    """(key, out): md5 of the sorted targets of each key; a key has no more targets than attributes and rules."""
+    return df.groupBy(key).agg(F.md5(F.array_join(F.array_sort(F.collect_set("target_id")), ",")).alias(out))
+
+
+def read_across_all(b: Book, gaps: DataFrame) -> DataFrame:
+    """The read-across of every incident: pattern_id, incidents, profile_id, positions, satisfied, total, score.
+
+    Incidents with one pattern and positions with one profile (the same targets among those of any pattern)
+    are one row each, so incidents never meet positions: the result grows with the patterns and profiles
+    there are.  Profiles that meet no target of a pattern are left out.
+    """
+    wanted = written(pattern_extract(b, gaps).select("incident_id", "target_id").distinct(), "incident-patterns")
+    known = written(facts(b, gaps).select("position_id", "target_id").distinct().join(
+        wanted.select("target_id").distinct(), "target_id", "left_semi"), "position-targets")
+    of_incident, of_position = _profile(wanted, "incident_id", "pattern_id"), _profile(known, "position_id", "profile_id")
+    patterns = wanted.join(of_incident, "incident_id").select("pattern_id", "target_id").distinct()
+    profiles = known.join(of_position, "position_id").select("profile_id", "target_id").distinct()
+    incidents = of_incident.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("incidents"))
+    positions = of_position.groupBy("profile_id").agg(F.count(F.lit(1)).alias("positions"))
+    totals = patterns.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("total"))
+    met = patterns.join(profiles, "target_id").groupBy("pattern_id", "profile_id").agg(F.count(F.lit(1)).alias("satisfied"))
+    return met.join(incidents, "pattern_id").join(positions, "profile_id").join(totals, "pattern_id").select(
+        "pattern_id", "incidents", "profile_id", "positions", "satisfied", "total", F.round(F.col("satisfied") / F.col("total"), 6).alias("score"))
+
+
 def pattern_sweep(b: Book, gaps: DataFrame, pattern: DataFrame, candidates: DataFrame) -> DataFrame:
     """Score distribution of the population under every pattern with one target removed or added.
 

@@ -130,6 +130,16 @@ q("read_across", """
     FROM position p JOIN desk d USING (desk_id) CROSS JOIN pattern t
     LEFT JOIN fact f ON f.position_id = p.position_id AND f.target_id = t.target_id GROUP BY 1, 2, 3""")(
     lambda b: S.read_across(b, b.gaps, pattern(b)))
+q("read_across_all", """
+    SELECT pattern_id, any_value(incidents) AS incidents, profile_id, any_value(positions) AS positions, count(*) AS satisfied,
+           any_value(total) AS total, round(count(*) / any_value(total), 6) AS score
+    FROM (SELECT pattern_id, count(*) AS incidents, any_value(ts) AS targets, any_value(len(ts)) AS total, unnest(any_value(ts)) AS target_id
+          FROM (SELECT incident_id, md5(string_agg(target_id, ',' ORDER BY target_id)) AS pattern_id, list(target_id) AS ts
+                FROM (SELECT DISTINCT incident_id, target_id FROM extracted) GROUP BY 1) GROUP BY 1)
+    JOIN (SELECT profile_id, count(*) AS positions, unnest(any_value(ts)) AS target_id
+          FROM (SELECT position_id, md5(string_agg(target_id, ',' ORDER BY target_id)) AS profile_id, list(target_id) AS ts
+                FROM (SELECT DISTINCT position_id, target_id FROM fact WHERE target_id IN (SELECT target_id FROM extracted)) GROUP BY 1) GROUP BY 1)
+    USING (target_id) GROUP BY pattern_id, profile_id""")(lambda b: S.read_across_all(b, b.gaps))
 q("pattern_sweep", """
     SELECT variant_id, changed_target, satisfied, total, count(*) AS positions,
            round(CASE WHEN total > 0 THEN satisfied / total END, 6) AS score
