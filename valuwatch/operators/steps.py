@@ -311,13 +311,13 @@ def policy_sweep(b: Book, variants: DataFrame | tuple[Clocked, ...]) -> DataFram
     of each threshold are gathered to place facts among them; the variants themselves stay a table.
     """
     table = written(versions(b, variants) if isinstance(variants, DataFrame) else versions_of(b, variants), "sweep-versions")
-    have = {r.rule_id for r in b.rules}
+    held = {r["rule_id"]: {f: sorted(r[f]) for f in FIELDS}
+            for r in table.groupBy("rule_id").agg(*[F.collect_set(f).alias(f) for f in FIELDS]).collect()}
+    have = {r.rule_id for r in b.rules} & set(held)
     parts = []
 
     def limits(rule_id: str, fields: tuple[str, ...]) -> tuple[DataFrame, dict[str, list]]:
-        some = table.where(F.col("rule_id") == rule_id).select(*fields).distinct()
-        values = {f: sorted(r[0] for r in some.select(f).distinct().collect()) for f in fields}
-        return some, values
+        return table.where(F.col("rule_id") == rule_id).select(*fields).distinct(), held[rule_id]
 
     def spread(rule_id: str, counts: DataFrame, fields: tuple[str, ...]) -> None:
         own = table.where(F.col("rule_id") == rule_id).select("variant_id", "rule_id", *fields)
