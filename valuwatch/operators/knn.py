@@ -1,25 +1,29 @@
 """Exact nearest neighbours without comparing all pairs.
 
-Vectors are scaled to length one, where cosine order is distance order, and cut into cells around
-pivots.  Distances to pivots bound, by the triangle inequality, how far the k-th neighbour of any
-vector of a cell can be; a vector is sent only to cells it can still matter to.  Within a cell,
-queries and candidates meet in blocks of bounded size, so a cell of any size is many tasks.
-Copies of one vector are compared once and share the result.
+Vectors are scaled to length one, where cosine order is distance order, and cut into cells around the
+leaves of a two-level tree of pivots.  A first round searches every vector's own cell.  The distance of
+the k-th vector found there bounds the search of that vector by itself: by the triangle inequality a
+second round sends it only to those other cells, and looks only below those branches, that come nearer.
+Within a cell, queries and candidates meet in blocks of bounded size, so a cell of any size is many
+tasks.  Copies of one vector are compared once and share the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
 BLOCK = 1024       # vectors per side of a block
-MAX_PIVOTS = 256   # pivots travel to every task: at most MAX_PIVOTS vectors
+CELL = 256         # vectors of a cell to aim at
+MAX_CELLS = 4096   # pivots travel to every task: at most MAX_CELLS vectors; cells grow beyond that
+SAMPLE = 4         # vectors drawn for each pivot wanted
 SLACK = 1e-4       # rounding allowance of the distance bounds, covers ties of similarity
 DIGITS = 9         # similarities equal to this many digits are ties, broken by id
 
@@ -43,60 +47,136 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T, 0.0))
 
 
-def _reach(radius: np.ndarray, between: np.ndarray, close: dict[int, np.ndarray], k: int) -> np.ndarray:
-    """Per cell, a distance within which every vector of the cell surely has k others."""
-    cells = sorted(close)
-    out = np.full(len(radius), np.inf)
-    for i in cells:
-        bound = np.sort(np.concatenate([radius[i] + between[i, j] + close[j] for j in cells]))
-        if len(bound) > k:  # one of the bounded vectors may be the query itself
-            out[i] = bound[k]
-    return out
+class PivotTree:
+    """Leaf pivots below branch pivots; leaves of one branch are neighbours in `leaves`.
 
+    Any placement of vectors is right, as bounds come from the radii measured afterwards.
+    """
 
-def _knn_distinct(unit: DataFrame, k: int) -> DataFrame:
-    """k nearest among distinct vectors: a, b, similarity."""
-    n = unit.count()
-    count = int(min(MAX_PIVOTS, max(1, round((n / BLOCK) ** 0.5 * 4)))) if n > BLOCK else 1
-    chosen = unit.orderBy(F.xxhash64("id"), "id").limit(count).collect()  # at most MAX_PIVOTS rows
-    if not chosen:
-        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"))
-    pivots = np.array([r.v for r in chosen], dtype="float64")
-    id_type = unit.schema["id"].dataType.simpleString()
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_stack(pdf["v"]), pivots)
-                cell = d.argmin(1)
-                yield pdf.assign(cell=cell, dist=d[np.arange(len(pdf)), cell])
-
-    placed = written(unit.mapInPandas(assign, f"id {id_type}, v array<double>, cell int, dist double"), "knn-cells")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("dist", "id"))
-    near = placed.select("cell", "dist", "id").withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    close = {r.cell: np.array(sorted(r.ds)) for r in  # at most MAX_PIVOTS * (k + 1) numbers
-             near.groupBy("cell").agg(F.collect_list("dist").alias("ds")).collect()}
-    sizes = {r.cell: (r.n, r.far) for r in placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).collect()}
-    radius = np.array([sizes[i][1] if i in sizes else -np.inf for i in range(len(pivots))])
-    reach = _reach(radius, _distances(pivots, pivots), close, k)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit = reach + radius + SLACK
-        for pdf in batches:
-            if len(pdf):
-                row, cell = np.nonzero(_distances(_stack(pdf["v"]), pivots) <= limit[None, :])
-                out = pdf.iloc[row][["id", "v"]].reset_index(drop=True)
-                yield out.assign(cell=cell.astype("int32"))
-
-    sent = written(placed.select("id", "v").mapInPandas(spread, f"id {id_type}, v array<double>, cell int"), "knn-sent")
-    parts = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sp")).join(
-        placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qp")), "cell")
-    chunk = F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
-    queries = placed.select("id", "v", "cell").join(parts, "cell").withColumn("own", F.col("qp")).select(
-        "id", "v", "cell", chunk.alias("qc"), F.explode(F.sequence(F.lit(0), F.col("sp") - 1)).alias("sc"), F.lit(True).alias("query"))
-    others = sent.join(parts, "cell").withColumn("own", F.col("sp")).select(
-        "id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("qc"), chunk.alias("sc"), F.lit(False).alias("query"))
+    def __init__(self, pivots: np.ndarray):
+        branches = int(np.ceil(np.sqrt(len(pivots))))
+        owner = _distances(pivots, pivots[:branches]).argmin(1)
+        owner[:branches] = np.arange(branches)          # no branch without a leaf
+        self.branches = pivots[:branches]
+        self.leaves = pivots[np.argsort(owner, kind="stable")]
+        self.edges = np.searchsorted(np.sort(owner), np.arange(branches + 1))
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, distance to it, distance to its branch) of each vector."""
+        far = _distances(v, self.branches)
+        branch = far.argmin(1)
+        leaf, near = np.zeros(len(v), dtype=np.int32), np.zeros(len(v))
+        for t in np.unique(branch):
+            rows = np.flatnonzero(branch == t)
+            d = _distances(v[rows], self.leaves[self.edges[t]:self.edges[t + 1]])
+            leaf[rows] = d.argmin(1) + self.edges[t]
+            near[rows] = d.min(1)
+        return leaf, near, far[np.arange(len(v)), branch]
+
+
+@dataclass
+class Cells:
+    """What the second round needs to know of a tree's cells: sizes, radii of leaves and of branches."""
+
+    tree: PivotTree
+    size: np.ndarray
+    radius: np.ndarray
+    spread: np.ndarray
+
+    def bound(self, v: np.ndarray, leaf: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which each vector surely has k others: from its branch's leaves or from whole branches."""
+        edges = self.tree.edges
+        held = np.add.reduceat(self.size, edges[:-1])
+        out = _surely(_distances(v, self.tree.branches) + self.spread, held, k)
+        branch = np.searchsorted(edges, leaf, side="right") - 1
+        for t in np.unique(branch):
+            rows, some = np.flatnonzero(branch == t), slice(edges[t], edges[t + 1])
+            near = _distances(v[rows], self.tree.leaves[some]) + self.radius[some]
+            out[rows] = np.minimum(out[rows], _surely(near, self.size[some], k))
+        return out
+
+    def nearer(self, v: np.ndarray, leaf: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, leaf) of the leaves other than its own that a vector's bound does not exclude."""
+        far = _distances(v, self.tree.branches)
+        for t in range(len(self.spread)):
+            rows = np.flatnonzero(far[:, t] <= bound + self.spread[t] + SLACK)
+            if not len(rows):
+                continue
+            some = slice(self.tree.edges[t], self.tree.edges[t + 1])
+            ok = _distances(v[rows], self.tree.leaves[some]) <= bound[rows, None] + self.radius[None, some] + SLACK
+            i, j = np.nonzero(ok)
+            i, j = rows[i], j + some.start
+            yield i[leaf[i] != j], j[leaf[i] != j]
+
+
+def _surely(reach: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Per row, the least reach of cells that together hold k vectors beside the row's own."""
+    order = np.argsort(reach, axis=1)
+    enough = np.cumsum(size[order], axis=1) > k
+    first = np.take_along_axis(reach, order, 1)[np.arange(len(reach)), enough.argmax(1)]
+    return np.where(enough.any(1), first, np.inf)
+
+
+def spread_pivots(drawn: np.ndarray, count: int) -> np.ndarray:
+    """`count` of the vectors drawn: half as drawn, so dense places are cut finely, and then always the one
+    farthest from those taken, so no group stays without a pivot and swells the cell it falls into."""
+    taken = list(range(min(len(drawn), -(-count // 2))))
+    far = _distances(drawn, drawn[taken]).min(1)
+    while len(taken) < min(count, len(drawn)):
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, _distances(drawn, drawn[taken[-1:]])[:, 0])
+    return drawn[taken]
+
+
+def _id_type(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
+
+
+def place(unit: DataFrame) -> tuple[DataFrame, PivotTree | None]:
+    """(id, v, cell, dist, far) of every vector and the tree its cells come from."""
+    count = min(MAX_CELLS, max(1, -(-unit.count() // CELL)))
+    kind = _id_type(unit)
+
+    def assigned(tree: PivotTree) -> DataFrame:
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    cell, dist, far = tree.place(_stack(pdf["v"]))
+                    yield pdf.assign(cell=cell, dist=dist, far=far)
+        return unit.select("id", "v").mapInPandas(assign, f"id {kind}, v array<double>, cell int, dist double, far double")
+
+    def vectors(rows: DataFrame) -> list:  # at most SAMPLE * MAX_CELLS rows
+        return [np.array(r.v, dtype="float64") for r in rows.select("v").collect()]
+
+    drawn = vectors(unit.orderBy(F.xxhash64("id"), "id").limit(count))
+    if not drawn:
+        return unit.select("id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("dist"), F.lit(0.0).alias("far")), None
+    if count > 1:
+        # a second draw by squared distance to the first finds the groups that the first one missed
+        u = (F.pmod(F.xxhash64("id", F.lit("far")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        key = -F.log(u) / (F.col("dist") * F.col("dist") + 1e-12)
+        drawn += vectors(assigned(PivotTree(np.stack(drawn))).orderBy(key, "id").limit((SAMPLE - 1) * count))
+    tree = PivotTree(spread_pivots(np.stack(drawn), count))
+    return written(assigned(tree), "knn-cells"), tree
+
+
+def meet(queries: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """k best of the cell's vectors for each query sent to a cell, in blocks: a, b, similarity."""
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+
+    sizes = parts(queries, "qp").join(parts(placed, "sp"), "cell")
+
+    def chunk(own: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+
+    def all_of(other: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+
+    asked = queries.join(sizes, "cell").select(
+        "id", "v", "cell", chunk("qp").alias("qc"), all_of("sp").alias("sc"), F.lit(True).alias("query"))
+    held = placed.join(sizes, "cell").select(
+        "id", "v", "cell", all_of("qp").alias("qc"), chunk("sp").alias("sc"), F.lit(False).alias("query"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         q, s = pdf[pdf["query"]], pdf[~pdf["query"]]
@@ -111,9 +191,45 @@ def _knn_distinct(unit: DataFrame, k: int) -> DataFrame:
         keep = np.isfinite(val)
         return pd.DataFrame({"a": a[keep], "b": s["id"].to_numpy()[top.ravel()][keep], "similarity": val[keep]})
 
-    pairs = queries.unionByName(others).groupBy("cell", "qc", "sc").applyInPandas(
-        block, f"a {id_type}, b {id_type}, similarity double")
-    return top_k(pairs, k)
+    kind = _id_type(placed)
+    return asked.unionByName(held).groupBy("cell", "qc", "sc").applyInPandas(block, f"a {kind}, b {kind}, similarity double")
+
+
+def sent_away(placed: DataFrame, tree: PivotTree, home: DataFrame, k: int) -> DataFrame:
+    """(id, v, cell) of every other cell that a vector has to ask, given what it found at home."""
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("near"), F.max("far").alias("far")).collect()
+    size, radius = np.zeros(len(tree.leaves), dtype=np.int64), np.full(len(tree.leaves), -np.inf)
+    spread = np.full(len(tree.branches), -np.inf)
+    for r in stats:  # at most MAX_CELLS rows
+        size[r.cell], radius[r.cell] = r.n, r.near
+        t = int(np.searchsorted(tree.edges, r.cell, side="right")) - 1
+        spread[t] = max(spread[t], r.far)
+    cells = Cells(tree, size, radius, spread)
+    kth = home.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("found"), F.min("similarity").alias("least")).where(
+        F.col("found") >= k).select("id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))).alias("kth"))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v, leaf = _stack(pdf["v"]), pdf["cell"].to_numpy()
+            bound = np.fmin(pdf["kth"].to_numpy(dtype="float64"), cells.bound(v, leaf, k))
+            for row, cell in cells.nearer(v, leaf, bound):
+                yield pdf.iloc[row][["id", "v"]].reset_index(drop=True).assign(cell=cell.astype("int32"))
+
+    rows = placed.select("id", "v", "cell").join(kth, "id", "left")
+    return rows.mapInPandas(send, f"id {_id_type(placed)}, v array<double>, cell int")
+
+
+def _knn_distinct(unit: DataFrame, k: int) -> DataFrame:
+    """k nearest among distinct vectors: a, b, similarity."""
+    placed, tree = place(unit)
+    home = top_k(meet(placed.select("id", "v", "cell"), placed, k), k)
+    if tree is None or len(tree.leaves) == 1:
+        return home
+    home = written(home, "knn-home")
+    away = written(sent_away(placed, tree, home, k), "knn-sent")
+    return top_k(home.unionByName(meet(away, placed, k)), k)
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
