@@ -1,18 +1,28 @@
-"""Event modelling: chains, as-of prices, case intake, cascades and holdouts."""
+"""Event modelling: chains, as-of prices, case intake, cascades and holdouts.  Case rows become a graph in `cases`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import elapsed_days
 from ..functions.ordered import asof, neighbour
 from ..model import POSITION_EDGE, Book
+from ..session import written
 
-# Event labels that carry prices, and the labels a case file may use.
+# Event labels that carry prices.
 PRICED_LABELS = ("MethodologyChange", "PriceOverride", "IPVReview", "Approval", "Escalation", "MAPReview")
-CASE_LABELS = ("MethodologyChange", "PriceOverride", "IPVReview", "MAPReview", "PnLSignal", "Control", "Approval",
-               "Escalation", "Incident", "CorrectiveAction", "MarketPrice", "Evidence")
+# Edge from the position to an event of a loaded case, and labels loaded without one.
+CASE_EDGE = {
+    "MethodologyChange": "CHANGED_TO",
+    "PriceOverride": "OVERRIDDEN_BY",
+    "IPVReview": "REVIEWED_BY",
+    "MAPReview": "REVIEWED_BY",
+    "PnLSignal": "GENERATED_SIGNAL",
+    "Control": "SUBJECT_TO_CONTROL",
+    "Escalation": "ESCALATED_TO",
+}
+CASE_LABELS = (*CASE_EDGE, "Approval", "Evidence", "Incident", "CorrectiveAction", "RootCause")
 # Day given to case rows that are dated to the month only.
 MONTH_ROW_DAYS = {"MP-2011Q4": "2011-12-15", "MC-MARK-2012": "2012-01-30", "PNL-FEB": "2012-02-21",
                   "IPV-COLLATERAL": "2012-04-25", "CA-METHOD": "2012-05-24"}
@@ -73,27 +83,37 @@ def place_case_rows(case: DataFrame) -> DataFrame:
         F.col("date_precision") == "month", F.try_element_at(table, F.col("event_id")).cast("date")), F.col("date")))
 
 
-def weekly_overrides(series: DataFrame, weeks: int) -> DataFrame:
-    """Expand a weekly override series (event_id, position_id, start, end) into its overrides:
-    deviation grows by 10 bps a week from 30, the share of the bid-ask by 6 points from 30 up to 95."""
-    w = F.col("week")
-    return (series.select("*", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("week"))
-            .withColumn("day", F.date_add("start", (w * 7).cast("int"))).where("day <= end")
-            .select(F.concat_ws("-", "event_id", F.lpad((w + 1).cast("string"), 2, "0")).alias("event_id"), "position_id",
-                    "day", (w * 10 + 30).alias("deviation_bps"), F.least(w * 6 + 30, F.lit(95)).alias("pct_of_bid_ask")))
+def weeks_of(prefix: Column, start: Column, end: Column) -> Column:
+    """One override a week from start to end: deviation grows by 10 bps a week from 30, the share of the
+    bid-ask by 6 points from 30 up to 95.  Null where a date is missing or the end comes first."""
+    def week(w: Column) -> Column:
+        no = (w + 1).cast("string")
+        return F.struct(F.concat_ws("-", prefix, F.lpad(no, F.greatest(F.length(no), F.lit(2)), F.lit("0"))).alias("event_id"),
+                        F.date_add(start, w * 7).alias("date"), (w * 10 + 30).alias("deviation_bps"),
+                        F.least(w * 6 + 30, F.lit(95)).alias("pct_of_bid_ask"))
 
+    return F.when(end >= start, F.transform(F.sequence(F.lit(0), F.floor(F.date_diff(end, start) / 7).cast("int")), week))
 
-def label_edges(events: DataFrame) -> DataFrame:
-    """Edge from the position to each of its events, by the fixed label-to-edge table."""
-    table = F.create_map(*[F.lit(x) for kv in POSITION_EDGE.items() for x in kv])
+
+def weekly_overrides(series: DataFrame) -> DataFrame:
+    """Expand weekly override series (event_id, position_id, start, end) into their overrides."""
+    return series.select("position_id", F.inline(weeks_of(F.col("event_id"), F.col("start"), F.col("end")))).select(
+        "event_id", "position_id", F.col("date").alias("day"), "deviation_bps", "pct_of_bid_ask")
+
+
+def label_edges(events: DataFrame, edge_of: dict[str, str] = POSITION_EDGE) -> DataFrame:
+    """Edge from the position to each of its events, by a fixed label-to-edge table."""
+    table = F.create_map(*[F.lit(x) for kv in edge_of.items() for x in kv])
     return events.withColumn("rel_type", F.try_element_at(table, F.col("label"))).where("rel_type is not null").select(
         F.col("position_id").alias("src"), "rel_type", F.col("event_id").alias("dst"), F.lit("Position").alias("from_label"),
         F.col("label").alias("to_label"))
 
 
 def load_case(case: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Other cases, told apart by position_id: (events, chain edges by sequence, unsupported rows)."""
-    ok = F.col("event_label").isin(*CASE_LABELS)
+    """Other cases, told apart by position_id: (events, chain edges by sequence, unsupported rows).
+
+    Rows of another label, or of none, are unsupported."""
+    ok = F.coalesce(F.col("event_label").isin(*CASE_LABELS), F.lit(False))
     events = place_case_rows(case).where(ok).select(
         "event_id", F.col("event_label").alias("label"), "position_id",
         (F.col("date").cast("timestamp_ntz") + F.expr("interval 12 hours")).alias("event_at"), "seq", "description",
@@ -122,6 +142,14 @@ def detach(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFram
     return nodes.join(gone, "id", "left_anti"), kept
 
 
+def _holdable(b: Book) -> DataFrame:
+    """Events that a holdout counts and removes: reviews only where they diverge beyond R5's limit."""
+    r5 = next((r for r in b.rules if r.rule_id == "R5"), None)
+    if r5 is None or r5.divergence_bps is None:
+        return b.event
+    return b.event.where((F.col("label") != "IPVReview") | (F.coalesce("divergence_bps", F.lit(0)) > r5.divergence_bps))
+
+
 def gap_holdout(b: Book, plan: tuple[tuple[str, str], ...], exclude: DataFrame) -> DataFrame:
     """For each (rule, label) in turn the position with most such triggers, ties by id, among those
     not excluded and not taken yet: rule_id, position_id, label, removed.
@@ -129,12 +157,7 @@ def gap_holdout(b: Book, plan: tuple[tuple[str, str], ...], exclude: DataFrame)
     Counts are one row per (position, label).  Position k of the plan has at most k positions taken
     before it, so the first k+1 candidates of each label decide; only those few rows are compared.
     """
-    r5 = next((r for r in b.rules if r.rule_id == "R5"), None)
-    floor = r5.divergence_bps if r5 else None
-    counted = b.event.where(F.col("label").isin(*{label for _, label in plan}))
-    if floor is not None:
-        counted = counted.where((F.col("label") != "IPVReview") | (F.coalesce("divergence_bps", F.lit(0)) > floor))
-    counts = (counted.groupBy("position_id", "label").agg(F.count(F.lit(1)).alias("removed"))
+    counts = (_holdable(b).where(F.col("label").isin(*{label for _, label in plan})).groupBy("position_id", "label").agg(F.count(F.lit(1)).alias("removed"))
               .join(exclude.select("position_id").distinct(), "position_id", "left_anti"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("removed"), "position_id"))
     short = counts.withColumn("rank", rank).where(F.col("rank") <= len(plan)).collect()  # <= len(plan) rows per label
@@ -152,6 +175,25 @@ def gap_holdout(b: Book, plan: tuple[tuple[str, str], ...], exclude: DataFrame)
     return b.spark.range(1).select(F.inline(F.array(*chosen)))
 
 
+def without_holdout(b: Book, held: DataFrame) -> Book:
+    """The book without the events that `held` (position_id, label) names, nor any edge that touches them:
+    their answers stay as events of the position, but answer nothing."""
+    gone = written(_holdable(b).join(held.select("position_id", "label").distinct(), ["position_id", "label"], "left_semi").select("event_id"), "held-out")
+    mark = gone.distinct().select(F.col("event_id").alias("gone_id"))
+    answers = b.response.join(mark, F.col("source_event_id") == F.col("gone_id"), "left")
+    kept = F.col("gone_id").isNull()
+    answers = answers.withColumns({c: F.when(kept, F.col(c)) for c in ("source_event_id", "source_label")}).drop("gone_id")
+    return b.with_(event=b.event.join(gone, "event_id", "left_anti"), response=answers)
+
+
+def without_links(bridge: DataFrame, held: DataFrame) -> DataFrame:
+    """The bridge without the links drawn; links with a null in them are told apart as well."""
+    cols = ["entity_id", "ra_type", "ra_value"]
+    some = held.select(*[F.col(c).alias(f"held_{c}") for c in cols])
+    same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in cols]
+    return bridge.join(some, same[0] & same[1] & same[2], "left_anti")
+
+
 def link_holdout(bridge: DataFrame, exclude: DataFrame, k: int, seed: int) -> DataFrame:
     """k pseudo-random attribute links, never of excluded entities and never liquidityTier.
 

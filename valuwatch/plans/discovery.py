@@ -11,6 +11,7 @@ from ..operators import events as E
 from ..operators import fastpath as FP
 from ..operators import knn as K
 from ..operators import rules as R
+from . import prelude
 from .events import PLAN
 from .registry import query
 
@@ -181,12 +182,23 @@ tq("gap_rich", "SELECT position_id FROM rich")(lambda b: FP.gap_rich(b.gaps, b.a
 
 
 def evaluation(b):
-    held = E.gap_holdout(b, PLAN, b.incident)
-    return FP.retrieval_eval(shortlist(b), FP.gap_rich(b.gaps, b.as_of, P), embedding(b), held)
+    """Neighbours and gaps of the book from which the held-out events are gone."""
+    held = b.once("gap_holdout", lambda: E.gap_holdout(b, PLAN, b.incident))
+    rest = E.without_holdout(b, held)
+    return FP.retrieval_eval(shortlist(rest), FP.gap_rich(rest.gaps, rest.as_of, P), embedding(rest), held)
 
 
 _HOLDOUT = {name: text for name, text in (
-    ("cand", """SELECT position_id, label, count(*) AS removed FROM event
+    ("full_event", prelude.VIEWS["event"]),
+    ("event", """SELECT * FROM full_event WHERE event_id NOT IN (SELECT event_id FROM held_event)"""),
+    ("full_response", prelude.VIEWS["response"].replace("JOIN event e", "JOIN full_event e")),
+    ("response", """SELECT * REPLACE (CASE WHEN source_event_id NOT IN (SELECT event_id FROM held_event) THEN source_event_id END AS source_event_id,
+                        CASE WHEN source_event_id NOT IN (SELECT event_id FROM held_event) THEN source_label END AS source_label) FROM full_response"""),
+    ("held_event", """SELECT e.event_id FROM full_event e JOIN taken t ON t.position_id = e.position_id AND t.label = e.label
+                      WHERE e.label <> 'IPVReview' OR divergence_bps > 50"""),
+    ("taken", """SELECT position_id, 'PriceOverride' AS label FROM h1 UNION ALL SELECT position_id, 'PriceOverride' FROM h2
+                 UNION ALL SELECT position_id, 'IPVReview' FROM h3 UNION ALL SELECT position_id, 'PnLSignal' FROM h4"""),
+    ("cand", """SELECT position_id, label, count(*) AS removed FROM full_event
                 WHERE (label <> 'IPVReview' OR divergence_bps > 50) AND position_id NOT IN (SELECT position_id FROM incident) GROUP BY 1, 2"""),
     ("h1", "SELECT position_id FROM cand WHERE label = 'PriceOverride' ORDER BY removed DESC, position_id LIMIT 1"),
     ("h2", """SELECT position_id FROM cand WHERE label = 'PriceOverride' AND position_id NOT IN (SELECT position_id FROM h1)

@@ -8,6 +8,7 @@ from ..operators import events as E
 from ..operators import graph as G
 from ..operators import market as M
 from ..operators import views as V
+from ..operators.cases import LABEL_RULES, encode_case
 from ..sources.files import read_layer
 from .market import _VIEWS as MARKET_VIEWS
 from .market import proxied
@@ -111,7 +112,7 @@ query("encode_case", """
            30 + 10 * w AS deviation_bps, least(30 + 6 * w, 95) AS pct_of_bid_ask
     FROM (SELECT event_id, position_id, w, (event_at::DATE + (7 * w)::INT) AS day, event_at::DATE + (consecutive_days * 7)::INT AS z
           FROM event, range(0, 12) r(w) WHERE label = 'PriceOverride' AND deviation_bps >= 50) WHERE day <= z""")(
-    lambda b: E.weekly_overrides(case_series(b), 12))
+    lambda b: E.weekly_overrides(case_series(b)))
 
 
 def case_rows(b):
@@ -125,7 +126,7 @@ def case_rows(b):
 def loaded_case(b):
     events, chain, bad = E.load_case(case_rows(b))
     out = [events.select(F.lit("event").alias("part"), F.col("event_id").alias("a"), F.col("label").alias("b")),
-           E.label_edges(events).select(F.lit("edge").alias("part"), F.col("rel_type").alias("a"), F.col("dst").alias("b")),
+           E.label_edges(events, E.CASE_EDGE).select(F.lit("edge").alias("part"), F.col("rel_type").alias("a"), F.col("dst").alias("b")),
            chain.select(F.lit("chain").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b")),
            bad.select(F.lit("unsupported").alias("part"), F.col("event_id").alias("a"), F.col("event_label").alias("b"))]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
@@ -142,6 +143,59 @@ query("load_case", """
       kept="SELECT * FROM cases WHERE label <> 'DecorrelationSignal'", **GRAPH_VIEWS)(loaded_case)
 
 
+def whole_cases(b):
+    """Every event, answer and incident of the positions with an incident as case rows."""
+    some = b.incident.select("position_id").distinct()
+    day, large = F.to_date("event_at"), F.expr("label = 'PriceOverride' and deviation_bps >= 50")
+    events = b.event.join(some, "position_id", "left_semi")
+    rows = [
+        events.select("event_id", F.col("label").alias("event_label"), "position_id", day.alias("date"),
+                      F.when(large, day).alias("series_start"),
+                      F.when(large, F.date_add(day, (F.col("consecutive_days") * 7).cast("int"))).alias("series_end")),
+        b.response.join(some, "position_id", "left_semi").select(
+            F.col("response_id").alias("event_id"), F.when(F.col("kind") == "Adjustment", "CorrectiveAction").otherwise(
+                F.col("kind")).alias("event_label"), "position_id", day.alias("date")),
+        b.incident.join(events.groupBy("position_id").agg(F.max(day).alias("date")), "position_id").select(
+            F.col("incident_id").alias("event_id"), F.lit("Incident").alias("event_label"), "position_id", "date")]
+    case = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    blank = {"seq": "int", "date_precision": "string", "description": "string", "actor_role": "string", "amount_usd_m": "double",
+             "source": "string", "confidence": "string"}
+    return case.select("*", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()]).join(
+        b.position.select("position_id", "instrument_id"), "position_id")
+
+
+def case_graph(b):
+    nodes, edges, bad = encode_case(whole_cases(b), LABEL_RULES)
+    return nodes.select(F.lit("node").alias("part"), F.col("label").alias("a"), F.col("id").alias("b"), F.col("position_id").alias("c"),
+                        F.to_date("at").alias("day")).unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("rel_type").alias("a"), F.col("src").alias("b"), F.col("dst").alias("c"),
+                     F.lit(None).cast("date").alias("day"))).unionByName(
+        bad.select(F.lit("unsupported").alias("part"), F.col("event_label").alias("a"), F.col("event_id").alias("b"),
+                   F.col("position_id").alias("c"), F.col("date").alias("day")))
+
+
+query("encode_case_graph", """
+    SELECT 'node' AS part, label AS a, id AS b, position_id AS c, (day + INTERVAL 10 YEAR)::DATE AS day FROM encoded
+    UNION ALL SELECT DISTINCT 'edge', CASE label WHEN 'MethodologyChange' THEN 'CHANGED_TO' WHEN 'PriceOverride' THEN 'OVERRIDDEN_BY'
+        WHEN 'PnLSignal' THEN 'GENERATED_SIGNAL' WHEN 'Control' THEN 'SUBJECT_TO_CONTROL' WHEN 'Escalation' THEN 'ESCALATED_TO'
+        ELSE 'REVIEWED_BY' END, position_id, id, NULL::DATE FROM encoded WHERE label NOT IN ('Approval', 'CorrectiveAction', 'Incident')
+    UNION ALL SELECT DISTINCT 'edge', 'CAUSED_BY', id, position_id, NULL FROM encoded WHERE label = 'Incident'
+    UNION ALL SELECT DISTINCT 'edge', 'MITIGATED_BY', first_id, id, NULL FROM encoded JOIN (
+        SELECT position_id, min(incident_id) AS first_id FROM incident JOIN lasting USING (position_id) GROUP BY 1) USING (position_id)
+        WHERE label = 'CorrectiveAction'
+    UNION ALL SELECT 'unsupported', label, id, position_id, day FROM told WHERE label IN ('DecorrelationSignal', 'Challenge')""",
+      own="SELECT * FROM event WHERE position_id IN (SELECT position_id FROM incident)",
+      lasting="SELECT position_id, max(event_at::DATE) AS day FROM own GROUP BY 1",
+      told="""
+        SELECT event_id AS id, label, position_id, event_at::DATE AS day FROM own WHERE label <> 'PriceOverride' OR deviation_bps < 50
+        UNION ALL SELECT event_id || '-' || lpad((w + 1)::VARCHAR, 2, '0'), label, position_id, (event_at::DATE + (7 * w)::INT)
+                  FROM own, range(0, 100) r(w) WHERE label = 'PriceOverride' AND deviation_bps >= 50 AND w <= consecutive_days
+        UNION ALL SELECT response_id, CASE kind WHEN 'Adjustment' THEN 'CorrectiveAction' ELSE kind END, position_id, event_at::DATE
+                  FROM response WHERE position_id IN (SELECT position_id FROM incident)
+        UNION ALL SELECT incident_id, 'Incident', position_id, day FROM incident JOIN lasting USING (position_id)""",
+      encoded="SELECT * FROM told WHERE label NOT IN ('DecorrelationSignal', 'Challenge')")(case_graph)
+
+
 def declared(b):
     no = F.substring("incident_id", 5, 18).cast("bigint")
     return b.incident.groupBy("position_id").agg(F.min(no).alias("no")).select(
@@ -182,7 +236,18 @@ query("gap_holdout", "SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELE
 
 query("link_holdout", """
     SELECT entity_id, ra_type, ra_value FROM attribute WHERE ra_type <> 'liquidityTier' AND entity_id NOT IN (SELECT position_id FROM incident)
-    ORDER BY md5('42|' || coalesce(entity_id, '') || '|' || coalesce(ra_type, '') || '|' || coalesce(ra_value, '')), entity_id, ra_type, ra_value LIMIT 6""")(lambda b: E.link_holdout(b.attribute, b.incident.select("position_id").distinct(), 6, 42))
+    ORDER BY md5('42|' || coalesce(entity_id, '') || '|' || coalesce(ra_type, '') || '|' || coalesce(ra_value, '')), entity_id, ra_type, ra_value LIMIT 6""")(lambda b: held_links(b))
+
+
+def held_links(b):
+    return E.link_holdout(b.attribute, b.incident.select("position_id").distinct(), 6, 42)
+
+
+query("link_bridge", """
+    SELECT entity_id, ra_type, ra_value FROM attribute WHERE (entity_id, ra_type, ra_value) NOT IN (
+        SELECT (entity_id, ra_type, ra_value) FROM attribute WHERE ra_type <> 'liquidityTier' AND entity_id NOT IN (SELECT position_id FROM incident)
+        ORDER BY md5('42|' || coalesce(entity_id, '') || '|' || coalesce(ra_type, '') || '|' || coalesce(ra_value, '')), entity_id, ra_type, ra_value LIMIT 6)""")(
+    lambda b: E.without_links(b.attribute.select("entity_id", "ra_type", "ra_value"), held_links(b)))
 
 query("id_unique_check", """
     SELECT label, id, count(*) AS n FROM (
