@@ -467,6 +467,45 @@ def test_similarity_classes(spark):
     assert jaccard_join.similarity_classes(empty(spark)).count() == 0
 
 
+def test_large_groups_in_blocks(spark, monkeypatch):
+    # near copies of one text, copies of another and documents that share most of a template without linking
+    r = random.Random(15)
+    rows = []
+    for family, (length, changes) in enumerate([(200, 4), (60, 1), (200, 25)]):
+        ws = words(prose(500 + family, length))
+        for _ in range(60):
+            some = list(ws)
+            for _ in range(r.randint(0, changes)):
+                some[r.randrange(len(some))] = f"new{r.random()}"
+            rows.append((len(rows), " ".join(some)))
+    rows += [(1000 + k, prose(600 + k, 80)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets, label = brute_components(rows)
+    assert len(set(label)) > 40
+    for block in (7, 1024):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        out = {x["doc_id"]: x["component_id"] for x in jaccard_join.similarity_classes(df).collect()}
+        assert [out[i] for i, _ in rows] == label
+
+
+def test_block_pairs_meet_once_and_hold_all(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    r = random.Random(16)
+    # a large group mostly of one component, a large one of many, and a small one
+    rows = [(1, c, 7 if c < 30 else c) for c in range(40)] + [(2, c, c) for c in range(25)] + [(3, c, c) for c in range(3)]
+    r.shuffle(rows)
+    apart = spark.createDataFrame(rows, "gid bigint, cid bigint, part bigint")
+    tasks = {}
+    for x in jaccard_join._block_pairs(apart).collect():
+        tasks.setdefault((x["key"], x["gid"]), []).append(x)
+    assert all(key == gid for key, gid in tasks if gid == 3)
+    met = [(gid, *sorted((x["cid"], y["cid"]))) for (_, gid), some in tasks.items() for i, x in enumerate(some) for y in some[:i]
+           if x["part"] != y["part"] and (x["alone"] or x["block"] != y["block"])]
+    want = {(g, a, b) for g, a, p in rows for h, b, q in rows if g == h and a < b and p != q}
+    assert len(met) == len(set(met)) and set(met) == want
+    assert max(map(len, tasks.values())) < 25
+
+
 def test_tree_misses_no_pair():
     r = np.random.default_rng(13)
     p = np.vstack([r.poisson(2, (1, 32)) + r.integers(0, 2, (60, 32)), r.poisson(2, (100, 32))]).astype(np.int32)
