@@ -88,3 +88,15 @@ def test_cliques_a_star_and_components(spark):
 
 def test_no_edges(spark):
     assert run(spark, []) == {} and run(spark, [("a", "a", 1.0)]) == {}
+
+
+def test_few_rounds_and_small_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(f"n{r.randrange(80):02}", f"n{r.randrange(80):02}", 1.0) for _ in range(500)]
+    made, keep = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, name, *more: made.append(name) or keep(df, name, *more))
+    settled(edges, run(spark, edges))
+    assert made.count("louvain-labels") <= 8
+    monkeypatch.setattr(C, "BLOCK_LINKS", 100)                           # several blocks, joint moves may lose
+    some = edges[:150]
+    settled(some, run(spark, some))
