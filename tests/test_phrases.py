@@ -56,3 +56,14 @@ def test_a_large_glossary(spark):
     df = spark.createDataFrame([(1, "Here Term number 77, and term  number 78; term number 19999."), (2, "term number 20000")], "text_id int, text string")
     assert sorted(tuple(x)[1:] for x in T.glossary_tag(df, terms).collect()) == [(0, "term number 19999", 42, 17), (0, "term number 77", 5, 14)]
     assert T.glossary_tag(df, terms.limit(0)).count() == 0
+
+
+def test_few_lengths_of_windows_for_spellings_of_any_length(spark):
+    def join(n):
+        terms = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k + 1)),) for k in range(n)], "term string")
+        return T.glossary_tag(df, terms)
+
+    df = spark.createDataFrame([(1, "so " + " ".join(f"w{i}" for i in range(60)) + "; w0 w1 w2, w0 w1")], "text_id int, text string")
+    assert sorted(tuple(x) for x in join(45).collect()) == [(1, 0, "w0 w1", 244, 5), (1, 0, "w0 w1 w2", 234, 8), (1, 0, " ".join(f"w{i}" for i in range(45)), 3, 169)]
+    few, many = (join(n)._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") for n in (40, 60))
+    assert few == many < 20

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Fixed value: the id grammar.
 ID_PATTERN = (r"\b(?:POS|PO|MC|MCH|IPV|MAP|PNL|CTL|APR|ESC|EV|RC|CA|INC|GAP|OVR)-[A-Za-z0-9:._-]*[A-Za-z0-9]")
 #: Characters a mention must not touch.
@@ -25,8 +27,24 @@ def _runs(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(RUN), 0), lambda x: F.lower(x))
 
 
+def _key_length(n: Column) -> Column:
+    """Runs of a spelling that its key covers: all up to four, else the largest power of two among them."""
+    return F.when(n <= 4, n).otherwise(F.call_function("shiftleft", F.lit(1), F.floor(F.log2(n)).cast("int")))
+
+
+def _with_hashes(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Columns `h1`, `h2`, ...: hashes of all windows of as many `runs`, each made from two of shorter windows."""
+    halves = {n: (n - n // 2, n // 2) for n in (2, 3, *[1 << k for k in range(2, max(lengths).bit_length())])}
+    rows = rows.withColumn("h1", F.transform("runs", lambda x: F.xxhash64(x)))
+    for n in sorted(halves):
+        left, right = halves[n]
+        at = F.when(F.size("runs") >= n, F.sequence(F.lit(0), F.size("runs") - n)).otherwise(F.array().cast("array<int>"))
+        rows = rows.withColumn(f"h{n}", F.transform(at, lambda i: F.xxhash64(F.get(f"h{left}", i), F.get(f"h{right}", i + left))))
+    return rows
+
+
 def _term_windows(terms: DataFrame) -> DataFrame:
-    """(key, term, alt, spelling, lead): every spelling of every entry under a hash of its word runs.
+    """(runs, n, term, alt, spelling, lead): every spelling of every entry, its word runs and how many of them its key covers.
 
     `terms` has `term` and, where there are any, `aliases` (an array).  Spellings of nothing but ASCII punctuation are left out.
     """
@@ -34,7 +52,7 @@ def _term_windows(terms: DataFrame) -> DataFrame:
     spelled = terms.where("term is not null").select("term", F.posexplode(F.concat(F.array("term"), aliases)).alias("alt", "spelling"))
     once = spelled.groupBy("term", "spelling").agg(F.min("alt").alias("alt"))
     runs = once.withColumn("runs", _runs(F.col("spelling"))).where(F.size("runs") > 0)
-    return runs.select(F.xxhash64("runs").alias("key"), F.size("runs").alias("n"), "term", "alt", "spelling",
+    return runs.select("runs", _key_length(F.size("runs")).alias("n"), "term", "alt", "spelling",
                        F.length(F.regexp_extract("spelling", f"^{GAP}", 0)).alias("lead"))
 
 
@@ -43,27 +61,34 @@ def glossary_tag(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     Paragraph by paragraph the earliest mention of an entry not seen yet is taken, the longest on ties, and
     the search goes on behind it.  Mentions are spellings (the term or an alias) without regard to case that
-    do not touch a word character or `&`.  Hashes of word windows, of the lengths that spellings have, meet
-    the glossary by equality, so its size does not matter; a hit is then compared with the text itself.
+    do not touch a word character or `&`.  Hashes of word windows meet the first words of the spellings by
+    equality, so the glossary's size does not matter; a hit is then compared with the text itself.  Windows
+    have up to four words or a power of two, so there are few lengths of them however many the spellings have.
     """
     spelled = _term_windows(terms)
-    lengths = sorted(r[0] for r in spelled.select("n").distinct().collect())       # lengths in words
+    lengths = sorted(r[0] for r in spelled.select("n").distinct().collect())
+    if not lengths:
+        return texts.select("text_id", F.lit(0).alias("para"), F.lit("").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("length")).limit(0)
     paras = texts.select("text_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "line"))
-    runs = paras.select("text_id", "para", _runs(F.col("line")).alias("runs"))
+    runs = _with_hashes(paras.select("text_id", "para", _runs(F.col("line")).alias("runs")), lengths)
+    key = F.coalesce(*[F.when(F.col("n") == n, F.get(f"h{n}", F.lit(0))) for n in lengths])
+    # filters on hashes would move below the columns they come from and compute these anew for every element
+    keys = written(_with_hashes(spelled, lengths).select(key.alias("key"), "n", "term", "alt", "spelling", "lead"), "glossary-keys")
+    held = runs.select("text_id", "para", F.inline_outer(F.concat(*[
+        F.transform(f"h{n}", lambda h, i: F.struct(h.alias("key"), F.lit(n).alias("n"), i.alias("at"))) for n in lengths])))
+    hits = held.join(keys, ["key", "n"]).groupBy("text_id", "para").agg(F.collect_list(F.struct("at", "term", "alt", "spelling", "lead")).alias("hits"))
+    # place of a run in its line: what stands before it, separators and runs
+    read = paras.select(F.col("text_id").alias("of"), F.col("para").alias("no"), "line")
+    lines = hits.join(read, F.col("text_id").eqNullSafe(F.col("of")) & (F.col("para") == F.col("no"))).select(
+        "text_id", "para", "line", "hits", F.transform(F.split("line", RUN, -1), F.length).alias("gaps"),
+        F.transform(F.regexp_extract_all("line", F.lit(RUN), 0), F.length).alias("sizes"))
 
-    def windows(n: int) -> Column:
-        at = F.when(F.size("runs") >= n, F.sequence(F.lit(0), F.size("runs") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("runs", i + 1, n)).alias("key"), i.alias("at")))
+    def before(at: Column) -> Column:
+        return sum(F.aggregate(F.slice(c, 1, n), F.lit(0), lambda x, y: x + y) for c, n in (("gaps", at + 1), ("sizes", at)))
 
-    if not lengths:
-        return texts.sparkSession.createDataFrame([], texts.select("text_id").schema.add("para", "int").add("term", "string").add(
-            "start", "int").add("length", "int"))
-    held = runs.select("text_id", "para", F.inline(F.concat(*[windows(n) for n in lengths])))
-    hits = held.join(spelled, "key").select("text_id", "para", "at", "term", "alt", "spelling", "lead")
-    # place of the run in its line: what stands before it, separators and runs
-    line = F.coalesce(F.regexp_substr("line", F.concat(F.lit(f"^(?:{GAP}{RUN}){{"), F.col("at").cast("string"), F.lit(f"}}{GAP}"))), F.lit(""))
-    read = paras.select(F.col("text_id").alias("of"), F.col("para").alias("no"), "line")
-    placed = hits.join(read, F.col("text_id").eqNullSafe(F.col("of")) & (F.col("para") == F.col("no"))).withColumn("start", F.length(line) - F.col("lead"))
+    starts = F.transform("hits", lambda h: F.struct((before(h["at"]) - h["lead"]).alias("start"), h["term"].alias("term"), h["alt"].alias("alt"),
+                                                    h["spelling"].alias("spelling")))
+    placed = lines.select("text_id", "para", "line", F.inline_outer(starts))
     size = F.length("spelling")
 
     def free(at: Column) -> Column:
