@@ -155,3 +155,10 @@ def test_detach_removes_touching_edges(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     n, e = E.detach(nodes, edges, spark.createDataFrame([("a",)], "id string"))
     assert {r.id for r in n.collect()} == {"b", "c"} and [tuple(r) for r in e.collect()] == [("b", "c")]
+
+
+def test_lines_are_sent_once_before_days_are_made(spark):
+    from valuwatch.sources.tables import bind
+
+    plan = bind(spark, "/root/testdata/sf0.001").trades._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("REPARTITION_BY_COL", 1)[1].split("Scan parquet")[0]
