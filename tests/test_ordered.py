@@ -1,9 +1,10 @@
 """Two-level ordered operators against brute force, with ties and one hot key."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from valuwatch.functions.ordered import asof, neighbour, row_numbers, running_sum
 
@@ -60,3 +61,19 @@ def test_prefix_sums_places_and_neighbours(spark):
             assert sums[r[2]] == total and places[r[2]] == i + 1
             assert prev[r[2]] == (line[i - 1][2] if i else None)
             assert nxt[r[2]] == (line[i + 1][2] if i + 1 < len(line) else None)
+
+
+def test_nothing_runs_a_frame_to_the_end_of_its_group(spark):
+    """Spark starts such a frame over at every row, so a key with many days would cost their square."""
+    from valuwatch.operators import market as M
+
+    left = spark.createDataFrame([("a", date(2000, 1, 2))], "k string, day date")
+    right = spark.createDataFrame([("a", date(2000, 1, 3), 1.0)], "k string, day date, price double")
+    prints = right.select(F.col("k").alias("instrument_id"), "day", F.col("price").alias("pr"))
+    grid = left.select(F.col("k").alias("instrument_id"), F.col("day").alias("week"))
+    found = [asof(left, right, ["k"], "day", "day", {"price": "price"}, forward=fwd, inclusive=True, else_first=not fwd)
+             for fwd in (True, False)]
+    assert [r.price for f in found for r in f.collect()] == [1.0, 1.0]
+    for df in (*found, M.interp_on_grid(prints, grid)):
+        plan = df._jdf.queryExecution().analyzed().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
