@@ -1,6 +1,9 @@
 """Two-round neighbour search: exact on spread, clustered and awkward vectors, few rows sent on clustered ones."""
 
+import re
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from valuwatch.operators import knn as K
@@ -61,6 +64,40 @@ def test_rows_sent_grow_with_the_input_on_clusters(spark, monkeypatch):
     assert sent[1] < 1.5 * sent[0] + 0.5
 
 
+def test_spread_vectors_go_to_groups_not_to_every_cell(spark, monkeypatch):
+    monkeypatch.setattr(K, "CELL", 16)
+    monkeypatch.setattr(K, "SLICE", 32)
+    monkeypatch.setattr(K, "TASK", 100)
+    v = np.random.default_rng(4).normal(size=(1000, 24))    # 63 cells, none excluded
+    unit = K.unit_vectors(frame(spark, v), centre=False).cache()
+    placed, tree = K.place(unit)
+    home = K.top_k(K.meet(placed.select("id", "v", "cell"), placed, 5), 5)
+    sent = K.sent_away(placed, tree, home, 5)
+    assert sent.count() <= (K.PARTS + 1) * len(v)
+    assert sent.rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize("centre", [False, True])
+def test_the_length_is_taken_once_a_vector(spark, centre):
+    """Not once for each of its elements, which costs the square of the dimension."""
+    rows = frame(spark, np.arange(8.0).reshape(2, 4))
+    plan = K.unit_vectors(rows, centre)._jdf.queryExecution().optimizedPlan().toString()
+    divided = [re.split(r"[/-] ", part)[1] for part in re.findall(r"lambda x_\d+#\d+ [/-] .{12}", plan)]
+    assert divided and all(by.startswith("lambda x_") for by in divided)
+
+
+def test_a_block_keeps_few_candidates_at_a_time(monkeypatch):
+    """Whatever a block holds, the best list is cut back to k a query as it grows."""
+    monkeypatch.setattr(K, "SLICE", 16)
+    seen, merged = [], K._merged
+    monkeypatch.setattr(K, "_merged", lambda parts, *rest: (seen.append(sum(len(p[0]) for p in parts)), merged(parts, *rest))[1])
+    v = np.random.default_rng(6).normal(size=(300, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = pd.DataFrame({"id": np.arange(300), "v": list(v), "cell": 0})
+    got = {(a, b) for x in K._search(rows, rows, 5, None) for a, b in zip(x[0], x[1])}
+    assert got == brute(v, 5) and max(seen) <= 5 * 16 + 4 * 5 * 16 + 16 * 16
+
+
 def test_empty_and_short(spark):
     assert K.knn(frame(spark, np.zeros((0, 3))), 3).count() == 0
     assert K.knn(frame(spark, np.eye(3)[:1]), 3).count() == 0
