@@ -7,6 +7,7 @@ from pathlib import Path
 
 
 from books import at, book, event, response
+from pyspark.sql import functions as F
 from valuwatch.operators import refresh
 from valuwatch.operators import rules as R
 from valuwatch.sources import files
@@ -57,3 +58,24 @@ def test_an_edit_recomputes_one_rule(spark, tmp_path):
     assert refresh.refresh_gaps(none, folder)[0].where("rule_id = 'R3'").count() == 0
     assert refresh.refresh_gaps(none, folder)[1] == []                                # a rule without gaps is complete too
     assert refresh.refresh_gaps(b, folder)[1] == [] and len(refresh.refresh_gaps(b, folder, "facts 2")[1]) == 10
+
+
+def test_gaps_of_one_rule_are_not_sent_to_one_task(spark, tmp_path):
+    gaps = spark.range(4000).selectExpr("concat('G', id) as gap_id", "'R9' as rule_id").repartition(4, "gap_id")
+    got = refresh.marked(gaps, {"R9": "f9", "R5": "f5"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan and "rule_id#" in plan
+    assert got.select(F.spark_partition_id()).distinct().count() == 4
+    assert {tuple(r) for r in got.select("rule_id", "fingerprint").distinct().collect()} == {("R9", "f9")} and got.count() == 4000
+    assert refresh.marked(gaps, {"R5": "f5"}).count() == 0
+
+
+def test_an_edit_of_a_rule_keeps_what_answered_the_events(spark, tmp_path):
+    b = book(spark, [event("O", "PriceOverride", "2020-01-01", deviation_bps=99), event("V", "IPVReview", "2020-02-01", divergence_bps=70)],
+             [response("A", "Approval", "O", "2020-01-02")])
+    refresh.refresh_gaps(b, str(tmp_path / "store"))
+    first = b.answers
+    edited = b.with_(rules=tuple(replace(r, divergence_bps=60) if r.rule_id == "R5" else r for r in b.rules))
+    assert edited.answers is first and b.with_(response=b.response.limit(0)).memo.get("answers") is None
+    gaps, stale = refresh.refresh_gaps(edited, str(tmp_path / "store"))
+    assert stale == ["R5"] and sorted(r.rule_id for r in gaps.collect() if r.trigger_event_id == "V") == ["R5"]

@@ -19,6 +19,13 @@ def fingerprint(b: Book, rule: Rule, facts: str) -> str:
     return hashlib.sha256(repr((astuple(rule), b.as_of, b.regime_breaks, facts)).encode()).hexdigest()
 
 
+def marked(gaps: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Gaps with the fingerprint of their rule.  The few fingerprints are literals: a join by rule would send all
+    gaps of a rule to one task, and with a single rule left it would be a Cartesian product."""
+    table = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
+    return gaps.withColumn("fingerprint", F.try_element_at(table, F.col("rule_id"))).where("fingerprint is not null")
+
+
 def refresh_gaps(b: Book, folder: str, facts: str = "") -> tuple[DataFrame, list[str]]:
     """The gaps of the book, read from a store below `folder`, and the rules that had to be recomputed.
 
@@ -35,8 +42,9 @@ def refresh_gaps(b: Book, folder: str, facts: str = "") -> tuple[DataFrame, list
     if stale:
         part = b.with_(rules=tuple(r for r in b.rules if r.rule_id in stale))
         part.memo["controls"] = expected_controls(part)
-        marked = gap_materialise(part).join(asked, "rule_id")
-        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rule_id", "fingerprint").parquet(f"{folder}/gaps")
+        marked(gap_materialise(part), wanted).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rule_id", "fingerprint").parquet(f"{folder}/gaps")
+        if "answers" in part.memo:  # an edit of rules leaves them as they are
+            b.memo["answers"] = part.memo["answers"]
         asked.where(F.col("rule_id").isin(stale)).coalesce(1).write.mode("append").parquet(f"{folder}/complete")
     here = [(F.col("rule_id") == r) & (F.col("fingerprint") == f) for r, f in wanted.items()]
     keep = here[0]
