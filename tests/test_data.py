@@ -12,7 +12,7 @@ from valuwatch.operators import market as M
 from valuwatch.operators import policy as P
 from valuwatch.operators import scenarios as S
 from valuwatch.operators import text as T
-from valuwatch.sources import files
+from valuwatch.sources import files, tables
 
 
 def test_obligations_csv(spark, tmp_path):
@@ -162,3 +162,21 @@ def test_lines_are_sent_once_before_days_are_made(spark):
 
     plan = bind(spark, "/root/testdata/sf0.001").trades._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan.split("REPARTITION_BY_COL", 1)[1].split("Scan parquet")[0]
+
+
+def test_lines_are_sent_once_to_their_events(spark):
+    line = spark.createDataFrame([(7, 1, at("2000-01-03"), 5, "A", "F"), (7, 1, at("2000-01-02"), 9, "R", "O"), (7, 2, at("2000-01-05"), 3, "N", "O"),
+                                  (8, 7, at("2000-01-01"), 4, "R", "F"), (9, 1, at("2000-01-01"), 4, "R", "F")],
+                                 "l_orderkey bigint, l_linenumber int, l_shipdate timestamp_ntz, l_suppkey bigint, l_returnflag string, l_linestatus string")
+    events = spark.createDataFrame([("EV-7", "PriceOverride", "P"), ("EV-8", "IPVReview", "Q")], "event_id string, label string, position_id string")
+    for parts in (None, 5):
+        got = tables._response(line, events, parts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = {r.response_id: (r.kind, r.source_event_id, r.event_at, r.person_id, r.evidenced, r.of_position, r.source_label, r.position_id)
+                for r in got.collect()}
+        assert rows == {"RS-7-1": ("Approval", "EV-7", at("2000-01-02 01:00"), "PER-5", True, False, "PriceOverride", "P"),
+                        "RS-7-2": ("Challenge", "EV-7", at("2000-01-05 02:00"), "PER-3", True, False, "PriceOverride", "P"),
+                        "RS-8-7": ("Escalation", "EV-8", at("2000-01-01 07:00"), "PER-4", False, True, "IPVReview", "Q")}
+        assert plan.count("Exchange hashpartitioning") <= 2  # lines, and events unless they are few
+        assert plan.count("hashpartitioning(l_orderkey") == 0
+    assert "hashpartitioning(source_event_id" in plan and ", 5)" in plan

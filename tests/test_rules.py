@@ -169,3 +169,25 @@ def test_many_clocks_equal_single_runs(spark):
     for c in clocks:
         one = R.expected_controls(b, as_of=c)
         assert sorted(map(str, many.where(f"as_of = timestamp_ntz '{c} 00:00:00'").select(*R.GAP).collect())) == sorted(map(str, one.collect()))
+
+
+def test_gaps_are_reduced_by_hashing(spark):
+    b = book(spark, [event(f"M{k}", "MethodologyChange", "2020-01-01") for k in range(3)],
+             [response("A", "Approval", "M1", "2020-01-05", label="MethodologyChange")])
+    b.memo["controls"] = controls = R.expected_controls(b, rule="R1")
+    late = controls.where("trigger_event_id = 'M1'")
+    b.memo["controls"] = controls.unionByName(late.withColumn("status", F.lit("MISSED"))).unionByName(late.withColumn("status", F.lit("MET")))
+    got = R.gap_materialise(b)
+    assert {(r.gap_id, r.status, r.due_by) for r in got.collect()} == {
+        ("GAP-R1-P-M0", "MISSED", at("2020-01-01")), ("GAP-R1-P-M1", "LATE", at("2020-01-01")), ("GAP-R1-P-M2", "MISSED", at("2020-01-01"))}
+    b.memo["controls"] = spark.createDataFrame(b.memo["controls"].collect(), controls.schema)
+    assert "SortAggregate" not in R.gap_materialise(b)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_single_context_sends_no_rule_values(spark):
+    b = true_case(spark)
+    one, two = (tuple(Clocked(v, "2023-01-01", b.rules) for v in names) for names in (("x",), ("x", "y")))
+    same = sorted(R.rule_r4(b, one).columns)
+    assert [tuple(r) for r in R.rule_r4(b, one).select(same).collect()] == [tuple(r) for r in R.rule_r4(b, two).where("variant_id = 'x'").select(same).collect()] != []
+    plan = R.recurring(b, one)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(rule_name" not in plan and "max(trigger_label" not in plan
