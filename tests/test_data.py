@@ -1,5 +1,6 @@
 """Sources, market ETL, event modelling, policy and text on small inputs."""
 
+import random
 from datetime import date
 
 import pytest
@@ -180,3 +181,19 @@ def test_lines_are_sent_once_to_their_events(spark):
         assert plan.count("Exchange hashpartitioning") <= 2  # lines, and events unless they are few
         assert plan.count("hashpartitioning(l_orderkey") == 0
     assert "hashpartitioning(source_event_id" in plan and ", 5)" in plan
+
+
+def test_chain_paths_order_the_chain_once(spark):
+    draw = random.Random(5)
+    events = [event(f"E{k:03}", draw.choice(["PriceOverride", "IPVReview", "PnLSignal"]), f"2020-01-{draw.randint(1, 28):02} {draw.randint(0, 3):02}:00",
+                    pos=draw.choice("PQ")) for k in range(120)]
+    b = book(spark, events, [response("A", "Approval", "E001", "2020-01-09")], marks=[{"position_id": "P", "day": date(2020, 1, 31), "clean": 1.0}])
+    chain = sorted([(e["position_id"], e["event_at"], e["event_id"], e["label"]) for e in events] + [("P", at("2020-01-09"), "A", "Approval"), ("P", at("2020-01-31 17:00"), "MK-P-2020-01-31", "Mark")])
+    for most in (1, 3, 10):
+        want = {(x[0], x[2], z[2], h, (z[1] - x[1]).days) for i, x in enumerate(chain) if x[3] == "PriceOverride"
+                for h, z in enumerate(chain[i + 1:i + 1 + most], 1) if z[0] == x[0] and z[3] == "IPVReview"}
+        got = S.chain_paths(b, most)
+        assert str(got._jdf.queryExecution().optimizedPlan()).count("Window [") == 2  # within a day, and over the days
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want) > 10
+    assert got.schema["hops"].dataType.simpleString() == "int"
