@@ -100,3 +100,24 @@ def test_few_rounds_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_LINKS", 100)                           # several blocks, joint moves may lose
     some = edges[:150]
     settled(some, run(spark, some))
+
+
+def test_nodes_near_the_last_moves_get_turns_of_their_own(spark, monkeypatch):
+    r = random.Random(7)
+    edges = [(f"n{k:03}", f"n{(k + step) % 200:03}", r.choice([1.0, 1.5, 2.0])) for k in range(200) for step in (1, 2, 3)]
+    dealt, keep = [], C._block_moves
+
+    def moves(*args):
+        dealt.append(args[5])
+        return keep(*args)
+
+    monkeypatch.setattr(C, "_block_moves", moves)
+    monkeypatch.setattr(C, "BLOCK_LINKS", 150)
+    graph = C.written(C._both_ways(spark.createDataFrame(edges, "a string, b string, w double")), "graph").cache()
+    labels = graph.selectExpr("src as node", "src as community").distinct().cache()
+    label, moved = C._local_moves(graph, labels, sum(2 * w for _, _, w in edges) * C.SCALE, 1.0)
+    assert moved and dealt[0] == dealt[-1] == 8 and min(dealt) < 8, dealt   # the last turn asks all nodes
+    label = {x["node"]: x["community"] for x in label.collect()}
+    best = quality(edges, label)
+    for x in label:
+        assert all(quality(edges, {**label, x: c}) <= best + 1e-9 for c in set(label.values())), x

@@ -114,16 +114,21 @@ def _sweep(pdf: pd.DataFrame, two_m: float, resolution: float) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[0], "node": own["node"][moved], "to": names[held[moved]], "gain": total})
 
 
-def _block_moves(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m: int, resolution: float, blocks: int, turn: int) -> DataFrame:
+def _block_moves(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m: int, resolution: float, blocks: int, turn: int,
+                 near: DataFrame | None = None) -> DataFrame:
     """(block, node, to, gain): what every block of nodes would do if all others stayed, and gain by it in all.
 
-    Blocks are dealt anew every turn.  There is no row only if no single move raises modularity.
+    Blocks are dealt anew every turn, of the nodes in `near` if that is given.  There is no row only if no single
+    move of these raises modularity.
     """
     def block(c: str):
         return F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(blocks)).cast("int")
 
     held = labels.join(strength, "node")
     volume = held.groupBy("community").agg(F.sum("k").cast("double").alias("vol"))
+    if near is not None:
+        held = held.join(near, "node", "left_semi")
+        graph = _links_of(graph, near)
     nodes = held.select(block("node").alias("block"), "node", F.lit(None).cast(labels.schema["node"].dataType).alias("peer"), "community",
                         F.lit(None).cast("double").alias("w"), F.col("k").cast("double").alias("k"))
     ends = graph.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst")
@@ -134,21 +139,36 @@ def _block_moves(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m
     return rows.groupBy("block").applyInPandas(lambda pdf: _sweep(pdf, float(two_m), resolution), f"block int, node {kind}, to {kind}, gain double")
 
 
+def _links_of(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    return graph.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+
+
+def _touched(graph: DataFrame, moves: DataFrame) -> DataFrame:
+    """The nodes of `moves` and their neighbours."""
+    nodes = moves.select("node").distinct()
+    return nodes.union(graph.join(nodes.withColumnRenamed("node", "dst"), "dst").select("src")).distinct()
+
+
 def _local_moves(graph: DataFrame, labels: DataFrame, two_m: int, resolution: float) -> tuple[DataFrame, bool]:
     """Labels that no single move improves, and whether anything moved.
 
     All blocks move at once if modularity rises by it, else the half of them that gain most, and so on; one
-    block alone always raises it.
+    block alone always raises it.  Nodes of different blocks get in each other's way, so once the nodes near a
+    turn's moves fit into fewer blocks, the next turn is theirs alone.  Only a turn of all nodes ends it.
     """
     strength = written(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength")
     blocks = -(-graph.count() // BLOCK_LINKS)
     quality = _quality(graph, labels, resolution).first()[0]
-    first = labels
+    first, near, parts = labels, None, blocks
     for turn in range(MAX_ROUNDS):
-        moves = written(_block_moves(graph, strength, labels, two_m, resolution, blocks, turn), "louvain-moves")
+        moves = written(_block_moves(graph, strength, labels, two_m, resolution, parts, turn, near), "louvain-moves")
         ranked = [r.block for r in moves.groupBy("block").agg(F.max("gain").alias("gain")).orderBy(F.desc("gain"), "block").collect()]
-        if not ranked:
+        if not ranked and near is None:
             return labels, turn > 0
+        if not ranked:
+            discard(moves, near)
+            near, parts = None, blocks
+            continue
         while True:
             made = moves.where(F.col("block").isin(ranked)).select("node", "to")
             tried = written(labels.join(made, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "louvain-labels")
@@ -157,6 +177,14 @@ def _local_moves(graph: DataFrame, labels: DataFrame, two_m: int, resolution: fl
                 break
             discard(tried)
             ranked = ranked[:len(ranked) // 2]
+        discard(near)
+        near, parts = None, blocks
+        if blocks > 1:
+            near = written(_touched(graph, moves), "louvain-near")
+            parts = -(-_links_of(graph, near).count() // BLOCK_LINKS)
+            if parts >= blocks:
+                discard(near)
+                near, parts = None, blocks
         discard(moves, labels if labels is not first else None)
         labels, quality = tried, quality + rise
     raise RuntimeError(f"local moves not settled after {MAX_ROUNDS} rounds")
