@@ -279,6 +279,15 @@ def test_quality_rules(spark):
     assert quality_rules.measures(docs).count() == docs.count() and quality_rules.measures(empty(spark)).count() == 0
 
 
+def test_only_suspect_lines_are_cut_into_words(spark):
+    bad = ["home", "Home!", "log  in", "a | b | c | d", "wow!! ok", "##x y z", "x All  rights\t RESERVED y z", "terms of  use a b", " skip to\rcontent"]
+    good = ["", " \x0b", "a b c d", "x :: y z", "wow!! a b c", "one two three", "the policy of a house", "a / b and c or d / e f"]
+    df = spark.createDataFrame([(x,) for x in bad + good], "line string")
+    line = quality_rules.bad_line(F.col("line"))
+    assert [x["b"] for x in df.select(line.alias("b")).collect()] == [True] * len(bad) + [False] * len(good)
+    assert "CASE WHEN" in df.select(line.alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 # 6 sharding
 
 def test_shards(spark):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, n_words, words
+from .common import BLANKS, let, words
 
 MIN_WORDS = 50
 #: Largest percentage of words in repeated three-word windows.
@@ -31,6 +31,12 @@ MENU = ("home", "menu", "log in", "login", "sign in", "sign up", "register", "ne
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
                "we use cookies", "accept cookies", "enable javascript", "javascript is disabled", "lorem ipsum",
                "subscribe to our newsletter", "click here to")
+NOISE = r"[#*$%&<>]{2}|!!|\?\?"
+#: What a line must at least hold to be noise or navigation, to be a menu entry (three words at most), or a
+#: notice (each phrase has one of these words).
+MARKED = r"[#*$%&<>|/»›•·]|[!?:]{2}"
+SHORT = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,3}+\z"
+NOTICE = ("reserved", "policy", "terms", "cookies", "javascript", "ipsum", "newsletter", "click")
 
 
 def _share(part: Column, whole: Column, limit: int) -> Column:
@@ -38,10 +44,13 @@ def _share(part: Column, whole: Column, limit: int) -> Column:
 
 
 def bad_line(line: Column) -> Column:
-    """Whether a line fails; lines without a word pass (they hold no text to lose)."""
+    """Whether a line fails; lines without a word pass (they hold no text to lose).
+
+    Only lines in which something may fail are cut into words.
+    """
     def judged(ws: Column) -> Column:
         n = F.size(ws)
-        noisy = F.size(F.filter(ws, lambda w: w.rlike(r"[#*$%&<>]{2}|!!|\?\?")))
+        noisy = F.size(F.filter(ws, lambda w: w.rlike(NOISE)))
         bars = F.size(F.filter(ws, lambda w: w.rlike(SEPARATOR_WORD)))
         plain = F.lower(F.array_join(ws, " "))
         entry = F.regexp_replace(plain, r"[^\p{L} ]", "")
@@ -49,7 +58,14 @@ def bad_line(line: Column) -> Column:
                           | ((bars >= SEPARATORS) & _share(bars, n, SEPARATOR_SHARE))
                           | ((n <= 3) & entry.isin(*MENU))
                           | plain.rlike("|".join(BOILERPLATE)))
-    return let(words(line), judged)
+
+    def suspect(low: Column) -> Column:
+        some = low.rlike(MARKED) | low.rlike(SHORT)
+        for word in NOTICE:
+            some = some | F.contains(low, F.lit(word))
+        return some
+
+    return F.when(let(F.lower(line), suspect), let(words(line), judged)).otherwise(False)
 
 
 def repeat_words(ws: Column) -> Column:
@@ -84,12 +100,13 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     chars = lambda s: F.length(F.translate(s, BLANKS, ""))
     kept_lines = F.filter(lines, lambda x: ~bad_line(x))
     out = docs.withColumns({
-        "q_words": n_words(F.col(text)), "q_word_chars": chars(t).cast("long"),
+        "q_words": F.size(words(F.col(text))).cast("long"), "q_word_chars": chars(t).cast("long"),
         "q_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "q_dup_lines": let(with_word, lambda x: (F.size(x) - F.size(F.array_distinct(x)))).cast("long"),
         "q_repeat_words": let(words(F.col(text)), repeat_words),
         "q_text": F.when(F.col(text).isNotNull(), F.array_join(kept_lines, "\n"))})
     out = out.withColumns({
         "q_base_failed": (F.col("q_words") < MIN_WORDS) | _share(F.col("q_repeat_words"), F.col("q_words"), MAX_REPEATED),
-        "q_lost_chars": F.col("q_word_chars") - F.coalesce(chars(F.col("q_text")), F.lit(0))})
+        "q_lost_chars": F.when(F.col("q_text") == F.col(text), F.lit(0).cast("long")).otherwise(
+            F.col("q_word_chars") - F.coalesce(chars(F.col("q_text")), F.lit(0)))})
     return out.withColumn("q_kept", ~F.col("q_base_failed") & ~_share(F.col("q_lost_chars"), F.col("q_word_chars"), MAX_LOST))
