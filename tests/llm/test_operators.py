@@ -126,6 +126,13 @@ def test_bpe_round_trip(spark):
     assert bpe.decode(bpe.encode(empty(spark), VOCAB, public_tokenizers.PATTERN), VOCAB).count() == 0
 
 
+def test_text_of_ids(spark):
+    df = spark.createDataFrame([([],), ([7],), ([0, 50256, 12],), (None,)], "ids array<int>")
+    text = df.select(bpe.ids_text(F.col("ids")).alias("t"))
+    assert [x["t"] for x in text.collect()] == ["", "7", "0 50256 12", None]
+    assert "translate" not in text._jdf.queryExecution().optimizedPlan().toString()      # character by character
+
+
 # 3 line dedup
 
 def test_line_dedup(spark):

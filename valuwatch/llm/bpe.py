@@ -283,4 +283,4 @@ def decode(coded: DataFrame, vocab: str, ids: str = "token_ids", out: str = "dec
 
 def ids_text(ids: Column) -> Column:
     """Decimal ids joined by one space."""
-    return F.translate(ids.cast("string"), "[],", "")
+    return F.array_join(ids.cast("array<string>"), " ")
