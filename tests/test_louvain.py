@@ -121,3 +121,18 @@ def test_nodes_near_the_last_moves_get_turns_of_their_own(spark, monkeypatch):
     best = quality(edges, label)
     for x in label:
         assert all(quality(edges, {**label, x: c}) <= best + 1e-9 for c in set(label.values())), x
+
+
+def test_one_block_settles_in_one_turn_and_is_not_measured(spark, monkeypatch):
+    edges = [(f"n{k:03}", f"n{(k + step) % 200:03}", 1.0 + (k * step) % 3 / 2) for k in range(200) for step in (1, 2, 3)]
+    dealt, keep = [], C._block_moves
+    monkeypatch.setattr(C, "_block_moves", lambda *args: dealt.append(args[6]) or keep(*args))
+    monkeypatch.setattr(C, "_quality", lambda *args: pytest.fail("modularity of moves that surely raise it"))
+    settled(edges, run(spark, edges))
+    assert max(dealt) == 1                                                # moves, and a turn that finds none
+
+
+def test_numbers_sent_for_names_keep_their_order(spark):
+    edges = [(10, 9, 1.0), (9, 2, 1.0), (2, 10, 1.0), (100, 11, 2.0)]       # as text, 10 comes before 9
+    named = run(spark, [(f"n{a}", f"n{b}", w) for a, b, w in edges])
+    assert named == {"n10": "n10", "n9": "n10", "n2": "n10", "n100": "n100", "n11": "n100"}

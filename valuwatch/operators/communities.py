@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,51 +69,69 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 LEAST_GAIN = 1e-6
 #: Moves of several blocks at once must raise modularity by more than this, far above its rounding.
 LEAST_RISE = 1e-12
-#: Links that one block holds on average, and passes over its nodes in one round.
-BLOCK_LINKS = 1 << 18
+#: Links that one block holds on average (some 50 bytes each in its task), and passes over the nodes of one of several blocks in a round.
+BLOCK_LINKS = 5 << 20
 PASSES = 10
 
 
-def _sweep(pdf: pd.DataFrame, two_m: float, resolution: float) -> pd.DataFrame:
-    """Moves of one block's nodes, one after the other, as long as one gains and for a few passes.
+def _sweep(rows: pa.Table, two_m: float, resolution: float, passes: int) -> pa.Table:
+    """Moves of one block's nodes, one after the other, as long as one gains and for so many passes.
 
-    A row without `w` is a node with its community, its strength `k` and the community's strength `vol`; the
-    others are its links, summed by community of the other end, or to a `peer` that may move here as well.
+    A row that is `own` is a node with its community, its strength `w` and the community's volume `vol`; the
+    others are its links, to a `peer` that may move here as well or summed by community of the other end.
+    A pass asks the peers of those that moved in the last one; all nodes are asked first and last.
     """
-    own = pdf[pdf["w"].isna()].sort_values("node").reset_index(drop=True)
-    links = pdf[~pdf["w"].isna()]
-    at, names = pd.factorize(pd.concat([own["community"], links["community"]]), sort=True)
-    vol = np.zeros(len(names))
-    vol[at] = np.concatenate([own["vol"], links["vol"]])
-    held, fixed, k = at[:len(own)].copy(), at[len(own):], own["k"].to_numpy(dtype="float64")
-    ids = pd.Index(own["node"])
-    node = ids.get_indexer(links["node"])
+    own, links = rows.filter(rows["own"]).sort_by("node"), rows.filter(pc.invert(rows["own"]))
+    ids, k = pd.Index(own["node"].to_numpy()), own["w"].to_numpy()
+    node = ids.get_indexer(links["node"].to_numpy())
     order = np.argsort(node, kind="stable")
-    fixed, w = fixed[order], links["w"].to_numpy(dtype="float64")[order]
-    peer = np.where(links["peer"].isna(), -1, ids.get_indexer(links["peer"]))[order]
-    starts = np.searchsorted(node[order], np.arange(len(own) + 1))
+    starts = np.searchsorted(node[order], np.arange(len(own) + 1)).tolist()
+    peer = np.full(len(links), -1, dtype=np.int64)
+    peer[links["peer"].is_valid().to_numpy()] = ids.get_indexer(links["peer"].drop_null().to_numpy())
+    outside = peer < 0
+    away = links.select(["community", "vol"]).filter(pa.array(outside))
+    at, names = pd.factorize(np.concatenate([own["community"].to_numpy(), away["community"].to_numpy()]), sort=True)
+    vol = np.zeros(len(names))
+    vol[at] = np.concatenate([own["vol"].to_numpy(), away["vol"].to_numpy()])
+    held, fixed = at[:len(own)].copy(), np.full(len(links), -1, dtype=np.int64)
+    fixed[outside] = at[len(own):]
+    w, peer, fixed, mixed = links["w"].to_numpy()[order], peer[order], fixed[order], bool(outside.any())
+    del links, away, node, order, outside
     start, weight, total = held.copy(), np.zeros(len(names)), 0.0
-    for _ in range(PASSES):
-        before = total
-        for i in range(len(own)):
+    asked, whole = range(len(own)), True
+    for _ in range(passes):
+        moved = []
+        for i in asked:
             some = slice(starts[i], starts[i + 1])
             if some.start == some.stop:
                 continue
-            near = np.where(peer[some] >= 0, held[peer[some]], fixed[some])
+            near = held[peer[some]]
+            if mixed:
+                near = np.where(peer[some] >= 0, near, fixed[some])
             np.add.at(weight, near, w[some])
             c = held[i]
             vol[c] -= k[i]
-            gain = weight[near] - resolution * k[i] * vol[near] / two_m
-            more = gain.max() - (weight[c] - resolution * k[i] * vol[c] / two_m)
+            gain = weight[near] - resolution * k[i] / two_m * vol[near]
+            best = gain.max()
+            more = best - (weight[c] - resolution * k[i] / two_m * vol[c])
             if more > LEAST_GAIN:
-                c, total = near[gain == gain.max()].min(), total + more
+                c, total = near[gain == best].min(), total + more
                 held[i] = c
+                moved.append(i)
             vol[c] += k[i]
             weight[near] = 0.0
-        if total == before:
+        if moved:
+            touched = np.unique(np.concatenate([peer[starts[i]:starts[i + 1]] for i in moved]))
+            asked, whole = touched[touched >= 0].tolist(), False
+        elif whole:
             break
-    moved = held != start
-    return pd.DataFrame({"block": pdf["block"].iloc[0], "node": own["node"][moved], "to": names[held[moved]], "gain": total})
+        else:
+            asked, whole = range(len(own)), True
+    changed = np.flatnonzero(held != start)
+    kind = rows.schema.field("node").type
+    return pa.table({"block": pa.array(np.full(len(changed), rows["block"][0].as_py(), dtype=np.int32)),
+                     "node": own["node"].take(pa.array(changed)), "to": pa.array(names[held[changed]], type=kind),
+                     "gain": pa.array(np.full(len(changed), total))})
 
 
 def _block_moves(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m: int, resolution: float, blocks: int, turn: int,
@@ -124,19 +144,27 @@ def _block_moves(graph: DataFrame, strength: DataFrame, labels: DataFrame, two_m
     def block(c: str):
         return F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(blocks)).cast("int")
 
+    kind, alone = labels.schema["node"].dataType.simpleString(), blocks == 1 and near is None
     held = labels.join(strength, "node")
     volume = held.groupBy("community").agg(F.sum("k").cast("double").alias("vol"))
     if near is not None:
         held = held.join(near, "node", "left_semi")
         graph = _links_of(graph, near)
-    nodes = held.select(block("node").alias("block"), "node", F.lit(None).cast(labels.schema["node"].dataType).alias("peer"), "community",
-                        F.lit(None).cast("double").alias("w"), F.col("k").cast("double").alias("k"))
-    ends = graph.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst")
-    links = ends.select(block("src").alias("block"), F.col("src").alias("node"), F.when(block("src") == block("dst"), F.col("dst")).alias("peer"),
-                        "community", "w").groupBy("block", "node", "peer", "community").agg(F.sum("w").cast("double").alias("w"))
-    rows = nodes.unionByName(links, allowMissingColumns=True).join(volume, "community")
-    kind = labels.schema["node"].dataType.simpleString()
-    return rows.groupBy("block").applyInPandas(lambda pdf: _sweep(pdf, float(two_m), resolution), f"block int, node {kind}, to {kind}, gain double")
+    nodes = held.join(volume, "community").select(
+        block("node").alias("block"), F.lit(True).alias("own"), "node", F.lit(None).cast(kind).alias("peer"), "community",
+        F.col("k").cast("double").alias("w"), "vol")
+    ends = graph.where("src <> dst")
+    if alone:   # every other end is a peer, whose row tells its community
+        links = ends.select(block("src").alias("block"), F.lit(False).alias("own"), F.col("src").alias("node"), F.col("dst").alias("peer"),
+                            F.lit(None).cast(kind).alias("community"), F.col("w").cast("double").alias("w"), F.lit(None).cast("double").alias("vol"))
+    else:
+        ends = ends.join(labels.select(F.col("node").alias("dst"), "community"), "dst")
+        links = ends.select(block("src").alias("block"), F.col("src").alias("node"), F.when(block("src") == block("dst"), F.col("dst")).alias("peer"),
+                            "community", "w").groupBy("block", "node", "peer", "community").agg(F.sum("w").cast("double").alias("w"))
+        links = links.join(volume, "community").select("block", F.lit(False).alias("own"), "node", "peer", "community", "w", "vol")
+    passes = MAX_ROUNDS if alone else PASSES
+    return nodes.union(links).groupBy("block").applyInArrow(
+        lambda rows: _sweep(rows, float(two_m), resolution, passes), f"block int, node {kind}, to {kind}, gain double")
 
 
 def _links_of(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,12 +181,12 @@ def _local_moves(graph: DataFrame, labels: DataFrame, two_m: int, resolution: fl
     """Labels that no single move improves, and whether anything moved.
 
     All blocks move at once if modularity rises by it, else the half of them that gain most, and so on; one
-    block alone always raises it.  Nodes of different blocks get in each other's way, so once the nodes near a
+    block alone always raises it, and is not measured where it is the only one.  Nodes of different blocks get in each other's way, so once the nodes near a
     turn's moves fit into fewer blocks, the next turn is theirs alone.  Only a turn of all nodes ends it.
     """
     strength = written(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength")
     blocks = -(-graph.count() // BLOCK_LINKS)
-    quality = _quality(graph, labels, resolution).first()[0]
+    quality = _quality(graph, labels, resolution).first()[0] if blocks > 1 else 0.0
     first, near, parts = labels, None, blocks
     for turn in range(MAX_ROUNDS):
         moves = written(_block_moves(graph, strength, labels, two_m, resolution, parts, turn, near), "louvain-moves")
@@ -172,7 +200,7 @@ def _local_moves(graph: DataFrame, labels: DataFrame, two_m: int, resolution: fl
         while True:
             made = moves.where(F.col("block").isin(ranked)).select("node", "to")
             tried = written(labels.join(made, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "louvain-labels")
-            rise = _quality(graph, tried, resolution).first()[0] - quality
+            rise = _quality(graph, tried, resolution).first()[0] - quality if blocks > 1 else 0.0
             if rise > LEAST_RISE or len(ranked) == 1:
                 break
             discard(tried)
@@ -222,9 +250,23 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     kept connected.  At the top, single nodes move again on the whole graph, and if any does it all goes on
     from there.  So in the result no single move raises modularity and every community is connected.  Every
     round raises modularity, so it ends.  Each round writes its labels to the shared scratch folder; the
-    driver only sees whether there are moves.
+    driver only sees whether there are moves.  Nodes are numbered in the order of their names, and the numbers
+    are sent and compared in place of these.
     """
-    base = written(_both_ways(edges), "louvain-graph")
+    linked = written(edges.where("a <> b").select("a", "b", "w"), "louvain-edges")
+    nodes = linked.select(F.col("a").alias("name")).union(linked.select("b")).distinct()
+    numbers = written(nodes.orderBy("name").select("name", F.monotonically_increasing_id().alias("no")), "louvain-numbers")
+    for c in ("a", "b"):
+        linked = linked.join(numbers, F.col(c) == F.col("name")).drop(c, "name").withColumnRenamed("no", c)
+    found = _settled(written(_both_ways(linked), "louvain-graph"), resolution)
+    least = found.groupBy("community").agg(F.min("node").alias("least"))
+    return (found.join(least, "community").join(numbers.select(F.col("no").alias("node"), "name"), "node")
+            .join(numbers.select(F.col("no").alias("least"), F.col("name").alias("of")), "least")
+            .select(F.col("name").alias("node"), F.col("of").alias("community")))
+
+
+def _settled(base: DataFrame, resolution: float) -> DataFrame:
+    """(node, community) of a graph (src, dst, w) in both directions, as `louvain` describes it; any names."""
     two_m = base.agg(F.sum("w")).first()[0]
     labels = written(base.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), "louvain-map")
     if not two_m:
@@ -246,8 +288,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         labels = mapping
     else:
         raise RuntimeError(f"communities not settled after {MAX_ROUNDS} levels")
-    names = labels.groupBy("community").agg(F.min("node").alias("name"))
-    return labels.join(names, "community").select("node", F.col("name").alias("community"))
+    return labels
 
 
 def _contracted(graph: DataFrame, labels: DataFrame) -> DataFrame:
