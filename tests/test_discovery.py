@@ -137,3 +137,17 @@ def test_independence_is_three_valued(spark):
         "person_id string, name string, role string, desk_id string"))
     got = {r.person_id: r.independent for r in C.independence_flag(b.with_(person=people)).collect()}
     assert got == {"OWN": False, "MATE": False, "OUT": True, "X": True, "Y": None, "Z": True, "W": None}
+
+
+def test_pairs_meet_vectors_and_not_rows_of_cells(spark):
+    rows = [("p", "x", 0, 3.0), ("p", "y", 1, 4.0), ("q", "x", 0, 1.0), ("q", "z", 2, 2.0), ("r", "x", 0, 2.0), ("r", "y", 1, 2.0)]
+    cells = spark.createDataFrame(rows, "position_id string, atom string, gi int, v double")
+    pairs = spark.createDataFrame([("p", "q", 0.5), ("p", "r", 0.25), ("r", "none", 0.0), ("none", "nil", 0.0)], "a string, b string, similarity double")
+    near = FP.euclid_rerank(pairs, cells)
+    assert {(x.a, x.b): x.euclid for x in near.collect()} == {
+        ("p", "q"): 4.899, ("p", "r"): 2.2361, ("r", "none"): 2.8284}
+    top = FP.top_dimensions(pairs, cells)
+    assert sorted(tuple(x) for x in top.collect()) == [("p", "q", 1, "x", 0, 1.0), ("p", "r", 1, "y", 1, 2.0), ("p", "r", 2, "x", 0, 2.0)]
+    for df in (near, top):                                                   # no pair is shuffled once a cell
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "hashpartitioning(a#" in x and "atom#" in x], plan

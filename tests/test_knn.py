@@ -102,3 +102,11 @@ def test_empty_and_short(spark):
     assert K.knn(frame(spark, np.zeros((0, 3))), 3).count() == 0
     assert K.knn(frame(spark, np.eye(3)[:1]), 3).count() == 0
     assert {(r.a, r.b) for r in K.knn(frame(spark, np.eye(3)), 9).collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
+
+
+def test_pivots_are_drawn_by_ids_and_not_by_sending_vectors(spark, monkeypatch):
+    monkeypatch.setattr(K, "CELL", 8)
+    drawn, keep = [], K.written
+    monkeypatch.setattr(K, "written", lambda df, name, *more: drawn.append((name, df.columns)) or keep(df, name, *more))
+    _, tree = K.place(K.unit_vectors(frame(spark, clustered(200, 9, 1)), centre=False).cache())
+    assert len(tree.leaves) == 25 and [c for name, c in drawn if name == "knn-drawn"] == [["id", "key"]] * 2
