@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from valuwatch import session
+from valuwatch.operators import graph as G
 from valuwatch.operators import market as M
 from valuwatch.plans import CATALOG
 from valuwatch.sources import tables as T
@@ -34,3 +35,13 @@ def test_lines_and_month_ends_are_sent_once(spark):
         assert len(shuffled(M.month_end(session.written(t.trades, "trades")))) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_named_neighbours_are_looked_up(spark):
+    e = spark.createDataFrame([("P1", "HAS", f"E{k}", "Position", "Event") for k in range(6)] + [("E0", "BY", "W", "Event", "Person")],
+                              "src string, rel_type string, dst string, from_label string, to_label string")
+    n = spark.createDataFrame([("P1", "Position", "Book 1"), ("W", "Person", "Wim")] + 2 * [(f"E{k}", "Event", f"E{k}") for k in range(6)],
+                              "id string, label string, caption string")
+    got = {(r.id, r.rel_type, r.dir): (r.cnt, r.sample) for r in G.node_summary(e, n).collect()}
+    assert got == {("P1", "HAS", "out"): (6, "E0, E1, E2, E3"), ("E0", "BY", "out"): (1, "Wim"), ("W", "BY", "in"): (1, "E0"),
+                   **{(f"E{k}", "HAS", "in"): (1, "Book 1") for k in range(6)}}   # an event stored twice is named once
