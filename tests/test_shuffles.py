@@ -5,6 +5,7 @@ from __future__ import annotations
 from valuwatch import session
 from valuwatch.operators import graph as G
 from valuwatch.operators import market as M
+from valuwatch.operators import timeline as TL
 from valuwatch.plans import CATALOG
 from valuwatch.sources import tables as T
 
@@ -45,3 +46,17 @@ def test_only_named_neighbours_are_looked_up(spark):
     got = {(r.id, r.rel_type, r.dir): (r.cnt, r.sample) for r in G.node_summary(e, n).collect()}
     assert got == {("P1", "HAS", "out"): (6, "E0, E1, E2, E3"), ("E0", "BY", "out"): (1, "Wim"), ("W", "BY", "in"): (1, "E0"),
                    **{(f"E{k}", "HAS", "in"): (1, "Book 1") for k in range(6)}}   # an event stored twice is named once
+
+
+def test_prices_are_reduced_before_they_meet_positions(spark):
+    b = T.canonical(T.bind(spark, DIR))
+    days = spark.createDataFrame([(f"INS-{i}", d) for i in range(9) for d in ("1992-01-01", "1995-05-05", "2002-02-02")],
+                                 "instrument_id string, day string").selectExpr("instrument_id", "'observed' as side", "cast(day as date) as day", "1.0 as price")
+    gaps = spark.createDataFrame([], "position_id string, due_by timestamp")
+    df = TL.day_span(b, days, gaps)
+    held = {r.position_id for r in b.position.collect() if r.instrument_id in {f"INS-{i}" for i in range(9)}}
+    got = {r.position_id: (str(r.start), str(r.end)) for r in df.collect()}
+    assert held and all(got[p] == ("1992-01-01", "2002-02-02") for p in held)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    join, first = plan.index("Join Inner"), plan.index("Aggregate [instrument_id")
+    assert join < first                                                      # the grouping lies below the join
